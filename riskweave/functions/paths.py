@@ -57,24 +57,30 @@ def is_test_file(path: Column) -> Column:
     return base.rlike(TEST_NAME) | F.contains(F.lower(base), F.lit("mock"))
 
 
+def _steps(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+
+
 def relative_to(path: Column, root: Column) -> Column:
-    """Path below ``root``; paths that are relative already or lie elsewhere stay."""
-    prefix = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
-    return F.when(F.startswith(path, prefix), F.substring(path, F.length(prefix) + 1, F.length(path))) \
-        .otherwise(path)
+    """Path below ``root``, ``.`` for the root itself, with ``..`` steps for a path outside it; a relative path stays."""
+    own, base = _steps(path), _steps(root)
+    common = F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(base), F.lit(1))), lambda n: (n > 0) & (n <= F.size(base)) & (F.slice(own, F.lit(1), n) == F.slice(base, F.lit(1), n))))
+    up = F.array_repeat(F.lit(".."), F.size(base) - common)
+    out = F.array_join(F.concat(up, F.slice(own, common + 1, F.greatest(F.size(own) - common, F.lit(0)))), "/")
+    return F.when(F.startswith(path, F.lit("/")) & F.startswith(root, F.lit("/")), F.when(out == "", ".").otherwise(out)).otherwise(path)
 
 
 def join_path(directory: Column, relative: Column) -> Column:
-    """Join and clean: no empty or '.' steps, '..' takes back the step before it."""
-    steps = F.filter(F.split(F.concat_ws("/", directory, relative), "/"),
-                     lambda s: ~s.isin("", "."))
+    """Join and clean: no empty or '.' steps, '..' takes back the step before it; '.' if nothing is left."""
+    rooted = F.startswith(directory, F.lit("/"))
     resolved = F.aggregate(
-        steps, F.array().cast("array<string>"),
+        _steps(F.concat_ws("/", directory, relative)), F.array().cast("array<string>"),
         lambda acc, s: F.when((s == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."),
                               F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when((s == "..") & rooted, acc)
         .otherwise(F.concat(acc, F.array(s))))
-    return F.concat(F.when(F.startswith(directory, F.lit("/")), "/").otherwise(""),
-                    F.array_join(resolved, "/"))
+    clean = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(resolved, "/"))
+    return F.when(clean == "", ".").otherwise(clean)
 
 
 # One token of a glob: escaped character, class, or single character.
@@ -105,6 +111,7 @@ def _glob_token(token: Column) -> Column:
     return (F.when(token == "*", "[^/]*")
             .when(token == "?", "[^/]")
             .when(token.isin("[", "\\"), "(?!)")
+            .when(token.rlike(r"^\[\^?[-\]]"), "(?!)")
             .when(F.startswith(token, F.lit("[")) & (F.length(token) > 1),
                   F.concat(F.lit("["), in_class, F.lit("]")))
             .when(F.startswith(token, F.lit("\\")), _literal(F.substring(token, 2, 1)))
@@ -113,4 +120,4 @@ def _glob_token(token: Column) -> Column:
 
 def glob_match(path: Column, regex: Column) -> Column:
     """Does the path fall under a translated glob?  No path, no match."""
-    return F.coalesce(path != "", F.lit(False)) & F.coalesce(path.rlike(regex), F.lit(False))
+    return F.coalesce(path != "", F.lit(False)) & F.coalesce(F.regexp_like(path, regex), F.lit(False))

@@ -31,7 +31,12 @@ def null_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+# Escapes inside quotes.
+QUOTE_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\a": "\\a", "\b": "\\b", "\f": "\\f", "\v": "\\v"}
+
+
 def quoted(text: Column) -> Column:
-    """The text in double quotes, with quotes and backslashes escaped."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    """The text in double quotes; quotes, backslashes and named control characters are escaped, other control characters stay."""
+    for char, escape in QUOTE_ESCAPES.items():
+        text = F.replace(text, F.lit(char), F.lit(escape))
+    return F.concat(F.lit('"'), text, F.lit('"'))

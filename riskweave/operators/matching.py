@@ -25,6 +25,11 @@ def match_rules(df: DataFrame, text: str, rules: Sequence[Rule], lang: str | Non
     With ``lang``, a rule applies to rows of its languages only.  A text that holds a
     pattern several times still gives one row for it.
     """
+    clash = sorted({ORD, *META} & set(df.columns))
+    if clash:
+        raise ValueError(f"rename the input's columns {clash}: hits add columns of these names")
+    if not rules:
+        return with_rule_columns(df.withColumn(ORD, F.lit(0)).where(F.lit(False)), rules)
     # The text and its folded form are bound once per row as a lambda variable; a
     # plain column would be recomputed for every needle once filters are pushed down.
     subject = F.struct(F.col(text).alias("text"), fold(F.col(text)).alias("folded"),
@@ -45,7 +50,10 @@ def _condition(rule: Rule, row: Column, by_lang: bool) -> Column:
     wanted = guard(rule.needles, row["text"], row["folded"])
     if wanted is not None:
         parts.append(wanted)
-    parts.append(row["text"].rlike(rule.java))
+    found = row["text"].rlike(rule.java)
+    if rule.linear:
+        found = F.when(F.contains(row["text"], F.lit("\n")), found).otherwise(row["text"].rlike(rule.linear))
+    parts.append(found)
     return reduce(Column.__and__, parts)
 
 
@@ -66,6 +74,8 @@ def with_rule_columns(hits: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def matched_text(text: Column, rules: Sequence[Rule], group: int = 0) -> Column:
     """What the hit's pattern (or one of its groups) matched in the text."""
+    if not rules:
+        return F.lit(None).cast("string")
     branches = [(F.col(ORD) == i, F.regexp_extract(text, r.java, group)) for i, r in enumerate(rules)]
     expr = F.when(*branches[0])
     for condition, value in branches[1:]:

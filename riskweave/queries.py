@@ -2,5 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from riskweave.plans import dependencies, detection, network, rollups, targets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (detection, rollups, dependencies, network, targets):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

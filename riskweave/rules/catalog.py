@@ -7,228 +7,250 @@ append a row (see ``riskweave.rules.ruleset``).
 """
 
 INFO, WARNING, HIGH, CRITICAL = 0, 1, 2, 3
-UNSET, GUESS, LIKELY, SURE = 0, 1, 2, 3
+UNSET, CONF_LOW, CONF_MEDIUM, CONF_HIGH = 0, 1, 2, 3
 
-LANGUAGES = {
-    "py": "python",
-    "js": "javascript",
-    "ts": "typescript",
-    "go": "go",
-    "json": "json",
-}
+PY, JS, TS, GO, JSON = "python", "javascript", "typescript", "go", "json"
 
-# Fixed values: (id, rule, severity, confidence, weakness, languages, pattern, message)
+# Fixed values: (id, rule, severity, confidence, weakness, languages, pattern, message,
+# patterns of lines on which a hit is void, match checked for placeholder and self-assigned values)
 SOURCE_RULES = [
-    ("S1", "mcp-cmd-injection", CRITICAL, SURE, "CWE-78", "py", 
+    ("S1", "mcp-cmd-injection", CRITICAL, CONF_HIGH, "CWE-78", (PY,),
      r"os\.(popen|system)\s*\(",
-     "Direct OS command execution: %s"),
-    ("S2", "mcp-cmd-injection", CRITICAL, SURE, "CWE-78", "py", 
+     "Direct OS command execution: %s",
+     [], False),
+    ("S2", "mcp-cmd-injection", CRITICAL, CONF_HIGH, "CWE-78", (PY,),
      r"subprocess\.(run|call|Popen|check_output)\s*\([^)]*shell\s*=\s*True",
-     "Subprocess with shell=True: %s"),
-    ("S3", "mcp-cmd-injection", HIGH, LIKELY, "CWE-78", "py", 
+     "Subprocess with shell=True: %s",
+     [], False),
+    ("S3", "mcp-cmd-injection", HIGH, CONF_MEDIUM, "CWE-78", (PY,),
      r"subprocess\.check_output\s*\(",
-     "subprocess.check_output usage (verify shell=False and safe args): %s"),
-    ("S4", "mcp-cmd-injection", HIGH, LIKELY, "CWE-78", "py", 
+     "subprocess.check_output usage (verify shell=False and safe args): %s",
+     [], False),
+    ("S4", "mcp-cmd-injection", HIGH, CONF_MEDIUM, "CWE-78", (PY,),
      r"subprocess\.Popen\s*\(",
-     "subprocess.Popen usage (verify shell=False and safe args): %s"),
-    ("S5", "mcp-code-eval", CRITICAL, SURE, "CWE-94", "py", 
+     "subprocess.Popen usage (verify shell=False and safe args): %s",
+     [], False),
+    ("S5", "mcp-code-eval", CRITICAL, CONF_HIGH, "CWE-94", (PY,),
      r"\bexec\s*\(",
-     "Python exec() dynamic code execution: %s"),
-    ("S6", "mcp-code-eval", CRITICAL, LIKELY, "CWE-94", "py js ts", 
+     "Python exec() dynamic code execution: %s",
+     [r"""["'][^"']*\bexec\s*\("""], False),
+    ("S6", "mcp-code-eval", CRITICAL, CONF_MEDIUM, "CWE-94", (PY, JS, TS),
      r"\beval\s*\(",
-     "Dynamic code evaluation: %s"),
-    ("S7", "mcp-dynamic-import", HIGH, LIKELY, "CWE-94", "py", 
+     "Dynamic code evaluation: %s",
+     [r"ast\.literal_eval\s*\(", r"\$\$?eval\s*\(", r"""["'][^"']*\beval\s*\("""], False),
+    ("S7", "mcp-dynamic-import", HIGH, CONF_MEDIUM, "CWE-94", (PY,),
      r"__import__\s*\(",
-     "Dynamic __import__() call (potential payload execution): %s"),
-    ("S8", "mcp-unsafe-deserialization", CRITICAL, SURE, "CWE-502", "py", 
+     "Dynamic __import__() call (potential payload execution): %s",
+     [r"""__import__\s*\(\s*['"]pkgutil['"]\s*\)""", r"pkgutil", r"importlib\.import_module"], False),
+    ("S8", "mcp-unsafe-deserialization", CRITICAL, CONF_HIGH, "CWE-502", (PY,),
      r"pickle\.(loads?)\s*\(",
-     "Unsafe pickle deserialization (arbitrary code execution risk): %s"),
-    ("S9", "mcp-unsafe-deserialization", HIGH, SURE, "CWE-502", "py", 
+     "Unsafe pickle deserialization (arbitrary code execution risk): %s",
+     [r"""["'][^"']*pickle\.(loads?)\s*\("""], False),
+    ("S9", "mcp-unsafe-deserialization", HIGH, CONF_HIGH, "CWE-502", (PY,),
      r"yaml\.load\s*\([^)]*\)",
-     "Unsafe yaml.load() without SafeLoader (use yaml.safe_load): %s"),
-    ("S10", "mcp-ssrf-risk", WARNING, GUESS, "CWE-918", "py", 
+     "Unsafe yaml.load() without SafeLoader (use yaml.safe_load): %s",
+     [r"""["'][^"']*yaml\.load\s*\("""], False),
+    ("S10", "mcp-ssrf-risk", WARNING, CONF_LOW, "CWE-918", (PY,),
      r"""requests\.(get|post)\s*\(\s*[^"'\s][^)]*\)""",
-     "requests.%s with dynamic URL (potential SSRF — validate/allowlist URLs): %s"),
-    ("S11", "mcp-destructive-fs", HIGH, LIKELY, "CWE-73", "py", 
+     "requests.%s with dynamic URL (potential SSRF — validate/allowlist URLs): %s",
+     [], False),
+    ("S11", "mcp-destructive-fs", HIGH, CONF_MEDIUM, "CWE-73", (PY,),
      r"shutil\.rmtree\s*\(",
-     "shutil.rmtree() — recursive directory deletion: %s"),
-    ("S12", "mcp-destructive-fs", HIGH, LIKELY, "CWE-73", "py", 
+     "shutil.rmtree() — recursive directory deletion: %s",
+     [], False),
+    ("S12", "mcp-destructive-fs", HIGH, CONF_MEDIUM, "CWE-73", (PY,),
      r"os\.remove\s*\(",
-     "os.remove() — file deletion: %s"),
-    ("S13", "mcp-cmd-injection", CRITICAL, SURE, "CWE-78", "js ts", 
+     "os.remove() — file deletion: %s",
+     [], False),
+    ("S13", "mcp-cmd-injection", CRITICAL, CONF_HIGH, "CWE-78", (JS, TS),
      r"child_process\.(exec|execSync)\s*\([^)]*(?:\+|`)",
-     "child_process.exec with string concatenation/template (injection risk): %s"),
-    ("S14", "mcp-cmd-injection", CRITICAL, SURE, "CWE-78", "js ts", 
+     "child_process.exec with string concatenation/template (injection risk): %s",
+     [r"(?i)(\$\{?\s*)?(ppid|process\.pid|process\.ppid)\s*\}?"], False),
+    ("S14", "mcp-cmd-injection", CRITICAL, CONF_HIGH, "CWE-78", (JS, TS),
      r"\bexecSync?\s*\([^)]*(?:\+|`)",
-     "execSync with string concatenation/template (injection risk): %s"),
-    ("S15", "mcp-cmd-injection", CRITICAL, SURE, "CWE-78", "js ts", 
+     "execSync with string concatenation/template (injection risk): %s",
+     [r"(?i)(\$\{?\s*)?(ppid|process\.pid|process\.ppid)\s*\}?"], False),
+    ("S15", "mcp-cmd-injection", CRITICAL, CONF_HIGH, "CWE-78", (JS, TS),
      r"child_process\.spawn\s*\([^)]*shell\s*:\s*true",
-     "child_process.spawn with shell:true: %s"),
-    ("S16", "mcp-cmd-injection", INFO, GUESS, "CWE-78", "js ts", 
+     "child_process.spawn with shell:true: %s",
+     [], False),
+    ("S16", "mcp-cmd-injection", INFO, CONF_LOW, "CWE-78", (JS, TS),
      r"""require\s*\(\s*['"]child_process['"]\s*\)""",
-     "child_process module imported (verify no unsafe .exec usage): %s"),
-    ("S17", "mcp-code-eval", CRITICAL, SURE, "CWE-94", "js ts", 
+     "child_process module imported (verify no unsafe .exec usage): %s",
+     [], False),
+    ("S17", "mcp-code-eval", CRITICAL, CONF_HIGH, "CWE-94", (JS, TS),
      r"new\s+Function\s*\(",
-     "new Function() — dynamic code generation: %s"),
-    ("S18", "mcp-code-eval", HIGH, LIKELY, "CWE-94", "js ts", 
+     "new Function() — dynamic code generation: %s",
+     [], False),
+    ("S18", "mcp-code-eval", HIGH, CONF_MEDIUM, "CWE-94", (JS, TS),
      r"""(setTimeout|setInterval)\s*\(\s*["'\x60]""",
-     "setTimeout/setInterval with string argument (implicit eval): %s"),
-    ("S19", "mcp-sandbox-escape", CRITICAL, LIKELY, "CWE-265", "js ts", 
+     "setTimeout/setInterval with string argument (implicit eval): %s",
+     [], False),
+    ("S19", "mcp-sandbox-escape", CRITICAL, CONF_MEDIUM, "CWE-265", (JS, TS),
      r"vm\.(runInNewContext|runInThisContext)\s*\(",
-     "vm.%s — Node.js sandbox escape risk: %s"),
-    ("S20", "mcp-destructive-fs", HIGH, LIKELY, "CWE-73", "js ts", 
+     "vm.%s — Node.js sandbox escape risk: %s",
+     [], False),
+    ("S20", "mcp-destructive-fs", HIGH, CONF_MEDIUM, "CWE-73", (JS, TS),
      r"fs\.(unlinkSync|rmdir(?:Sync)?|rm(?:Sync)?)\s*\(",
-     "Destructive filesystem operation: %s"),
-    ("S21", "mcp-env-leakage", HIGH, LIKELY, "CWE-526", "js ts", 
+     "Destructive filesystem operation: %s",
+     [], False),
+    ("S21", "mcp-env-leakage", HIGH, CONF_MEDIUM, "CWE-526", (JS, TS),
      r"(return|console\.(log|warn|error)|res\.(send|json|write)|\.push|\.join|`).*process\.env\.[A-Z_][A-Z0-9_]*",
-     "Environment variable leaked to output/response: %s"),
-    ("S22", "mcp-env-read", INFO, GUESS, "CWE-526", "js ts", 
+     "Environment variable leaked to output/response: %s",
+     [], False),
+    ("S22", "mcp-env-read", INFO, CONF_LOW, "CWE-526", (JS, TS),
      r"process\.env\.[A-Z_][A-Z0-9_]*",
-     "Environment variable read (verify it is not exposed to output): %s"),
-    ("S23", "mcp-path-traversal-risk", HIGH, LIKELY, "CWE-22", "py js ts", 
+     "Environment variable read (verify it is not exposed to output): %s",
+     [], False),
+    ("S23", "mcp-path-traversal-risk", HIGH, CONF_MEDIUM, "CWE-22", (PY, JS, TS),
      r"(?i)(open|readFile|readFileSync|writeFile|writeFileSync)\s*\([^)]*\+",
-     "File operation with concatenated path (traversal risk): %s"),
-    ("S24", "mcp-path-containment-bypass", HIGH, LIKELY, "CWE-22", "js ts", 
+     "File operation with concatenated path (traversal risk): %s",
+     [], False),
+    ("S24", "mcp-path-containment-bypass", HIGH, CONF_MEDIUM, "CWE-22", (JS, TS),
      r"\.startsWith\s*\([^)]*(?:Dir|dir|Path|path|Root|root|Base|base)[^)]*\)",
-     "startsWith() used as path containment check — bypassable via prefix confusion or symlinks (use path.resolve + path.sep): %s"),
-    ("S25", "mcp-ssrf-broken-check", CRITICAL, SURE, "CWE-918", "js ts", 
+     "startsWith() used as path containment check — bypassable via prefix confusion or symlinks (use path.resolve + path.sep): %s",
+     [r"(?i)(cors|route|url|pathname|origin|host)"], False),
+    ("S25", "mcp-ssrf-broken-check", CRITICAL, CONF_HIGH, "CWE-918", (JS, TS),
      r"""\.startsWith\s*\(\s*["'](10\.|192\.168\.|172\.)""",
-     "startsWith() used to check for private IP — ineffective on full URLs (extract hostname first): %s"),
-    ("S26", "mcp-config-rce", CRITICAL, SURE, "CWE-78", "json", 
+     "startsWith() used to check for private IP — ineffective on full URLs (extract hostname first): %s",
+     [], False),
+    ("S26", "mcp-config-rce", CRITICAL, CONF_HIGH, "CWE-78", (JSON,),
      r"(?i)(IEX|Invoke-Expression)\s*\(",
-     "PowerShell Invoke-Expression (IEX) in MCP config — possible rug-pull RCE payload: %s"),
-    ("S27", "mcp-config-rce", CRITICAL, SURE, "CWE-78", "json", 
+     "PowerShell Invoke-Expression (IEX) in MCP config — possible rug-pull RCE payload: %s",
+     [], False),
+    ("S27", "mcp-config-rce", CRITICAL, CONF_HIGH, "CWE-78", (JSON,),
      r"(?i)DownloadString\s*\(",
-     "PowerShell DownloadString in MCP config — remote payload download pattern: %s"),
-    ("S28", "mcp-cmd-injection", CRITICAL, SURE, "CWE-78", "go", 
+     "PowerShell DownloadString in MCP config — remote payload download pattern: %s",
+     [], False),
+    ("S28", "mcp-cmd-injection", CRITICAL, CONF_HIGH, "CWE-78", (GO,),
      r"exec\.Command\s*\([^)]*\+",
-     "exec.Command with string concatenation (injection risk): %s"),
-    ("S29", "mcp-cmd-injection", HIGH, LIKELY, "CWE-78", "go", 
+     "exec.Command with string concatenation (injection risk): %s",
+     [], False),
+    ("S29", "mcp-cmd-injection", HIGH, CONF_MEDIUM, "CWE-78", (GO,),
      r"exec\.Command\s*\(",
-     "exec.Command usage (verify args do not contain user input): %s"),
-    ("S30", "mcp-destructive-fs", HIGH, LIKELY, "CWE-73", "go", 
+     "exec.Command usage (verify args do not contain user input): %s",
+     [], False),
+    ("S30", "mcp-destructive-fs", HIGH, CONF_MEDIUM, "CWE-73", (GO,),
      r"os\.(Remove|RemoveAll)\s*\(",
-     "os.%s — file/directory deletion: %s"),
-    ("S31", "mcp-xss-risk", HIGH, LIKELY, "CWE-79", "go", 
+     "os.%s — file/directory deletion: %s",
+     [], False),
+    ("S31", "mcp-xss-risk", HIGH, CONF_MEDIUM, "CWE-79", (GO,),
      r"template\.HTML\s*\(",
-     "template.HTML() type conversion bypasses auto-escaping (XSS risk): %s"),
-    ("S32", "mcp-outbound-connection", WARNING, GUESS, "CWE-918", "go", 
+     "template.HTML() type conversion bypasses auto-escaping (XSS risk): %s",
+     [], False),
+    ("S32", "mcp-outbound-connection", WARNING, CONF_LOW, "CWE-918", (GO,),
      r"net\.(Dial|DialTimeout)\s*\(",
-     "net.Dial outbound TCP/UDP connection: %s"),
-    ("S33", "mcp-hardcoded-secret", CRITICAL, LIKELY, "CWE-798", "py js ts go", 
+     "net.Dial outbound TCP/UDP connection: %s",
+     [], False),
+    ("S33", "mcp-hardcoded-secret", CRITICAL, CONF_MEDIUM, "CWE-798", (PY, JS, TS, GO),
      r"""(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*["'][a-zA-Z0-9+/=_-]{16,}["']""",
-     "Hardcoded credential: %s"),
-    ("S34", "mcp-hardcoded-aws-key", CRITICAL, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded credential: %s",
+     [], True),
+    ("S34", "mcp-hardcoded-aws-key", CRITICAL, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"AKIA[A-Z0-9]{16}",
-     "Hardcoded AWS access key: %s"),
-    ("S35", "mcp-hardcoded-api-key", CRITICAL, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded AWS access key: %s",
+     [], True),
+    ("S35", "mcp-hardcoded-api-key", CRITICAL, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"sk-[a-zA-Z0-9]{20,}",
-     "Hardcoded API key (OpenAI format): %s"),
-    ("S36", "mcp-hardcoded-github-pat", HIGH, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded API key (OpenAI format): %s",
+     [], True),
+    ("S36", "mcp-hardcoded-github-pat", HIGH, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"ghp_[a-zA-Z0-9]{36}",
-     "Hardcoded GitHub PAT: %s"),
-    ("S37", "mcp-hardcoded-bearer-token", CRITICAL, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded GitHub PAT: %s",
+     [], True),
+    ("S37", "mcp-hardcoded-bearer-token", CRITICAL, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"Bearer\s+[a-zA-Z0-9\-._~+/]{20,}=*",
-     "Hardcoded Bearer token: %s"),
-    ("S38", "mcp-hardcoded-private-key", CRITICAL, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded Bearer token: %s",
+     [], True),
+    ("S38", "mcp-hardcoded-private-key", CRITICAL, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-     "Private key material embedded in source code: %s"),
-    ("S39", "mcp-hardcoded-webhook", HIGH, SURE, "CWE-798", "py js ts go", 
+     "Private key material embedded in source code: %s",
+     [r"(?i)regexp\.MustCompile|regexp\.Compile|re\.compile|new\s+RegExp", r"`[^`]*-----BEGIN"], False),
+    ("S39", "mcp-hardcoded-webhook", HIGH, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"hooks\.slack\.com/services/",
-     "Hardcoded Slack webhook URL: %s"),
-    ("S40", "mcp-hardcoded-webhook", HIGH, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded Slack webhook URL: %s",
+     [], False),
+    ("S40", "mcp-hardcoded-webhook", HIGH, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"discord\.com/api/webhooks/",
-     "Hardcoded Discord webhook URL: %s"),
-    ("S41", "mcp-hardcoded-stripe-key", CRITICAL, SURE, "CWE-798", "py js ts go", 
+     "Hardcoded Discord webhook URL: %s",
+     [], False),
+    ("S41", "mcp-hardcoded-stripe-key", CRITICAL, CONF_HIGH, "CWE-798", (PY, JS, TS, GO),
      r"sk_live_[a-zA-Z0-9]{20,}",
-     "Hardcoded Stripe live secret key: %s"),
-    ("S42", "mcp-hardcoded-twilio-key", HIGH, LIKELY, "CWE-798", "py js ts go", 
+     "Hardcoded Stripe live secret key: %s",
+     [], True),
+    ("S42", "mcp-hardcoded-twilio-key", HIGH, CONF_MEDIUM, "CWE-798", (PY, JS, TS, GO),
      r"SK[a-zA-Z0-9]{32}",
-     "Possible hardcoded Twilio API key (SK...): %s"),
-    ("S43", "mcp-hardcoded-twilio-sid", HIGH, LIKELY, "CWE-798", "py js ts go", 
+     "Possible hardcoded Twilio API key (SK...): %s",
+     [], True),
+    ("S43", "mcp-hardcoded-twilio-sid", HIGH, CONF_MEDIUM, "CWE-798", (PY, JS, TS, GO),
      r"AC[a-f0-9]{32}",
-     "Possible hardcoded Twilio account SID (AC...): %s"),
+     "Possible hardcoded Twilio account SID (AC...): %s",
+     [], True),
 ]
 
-# A hit of the rule is void when one of these matches its line.
-SOURCE_EXCLUDES = {
-    "S5": [r"""["'][^"']*\bexec\s*\("""],
-    "S6": [r"ast\.literal_eval\s*\(", r"\$\$?eval\s*\(", r"""["'][^"']*\beval\s*\("""],
-    "S7": [r"""__import__\s*\(\s*['"]pkgutil['"]\s*\)""", r"pkgutil", r"importlib\.import_module"],
-    "S8": [r"""["'][^"']*pickle\.(loads?)\s*\("""],
-    "S9": [r"""["'][^"']*yaml\.load\s*\("""],
-    "S13": [r"(?i)(\$\{?\s*)?(ppid|process\.pid|process\.ppid)\s*\}?"],
-    "S14": [r"(?i)(\$\{?\s*)?(ppid|process\.pid|process\.ppid)\s*\}?"],
-    "S24": [r"(?i)(cors|route|url|pathname|origin|host)"],
-    "S38": [r"(?i)regexp\.MustCompile|regexp\.Compile|re\.compile|new\s+RegExp", r"`[^`]*-----BEGIN"],
-}
-
-# Rules whose match is checked for placeholder and self-assigned values.
-SECRET_RULE_IDS = ["S33", "S34", "S35", "S36", "S37", "S41", "S42", "S43"]
-
 # The credential rules among the source rules.
 CREDENTIAL_RULE_IDS = ["S33", "S34", "S35", "S36", "S37", "S38", "S39", "S40", "S41", "S42", "S43"]
 
 # Fixed values: (id, method label, languages, pattern); %s is the first capture.
 EGRESS_RULES = [
-    ("E1", "requests.%s", "py", r"requests\.(get|post|put|delete|patch)\s*\("),
-    ("E2", "urllib.request.urlopen", "py", r"urllib\.request\.urlopen\s*\("),
-    ("E3", "http.client.HTTPConnection", "py", r"http\.client\.HTTPConnection\s*\("),
-    ("E4", "socket.connect", "py", r"\.connect\s*\("),
-    ("E5", "smtplib.SMTP", "py", r"smtplib\.SMTP\s*\("),
-    ("E6", "paramiko.SSHClient", "py", r"paramiko\.SSHClient\s*\("),
-    ("E7", "fetch", "js ts", r"fetch\s*\("),
-    ("E8", "axios.%s", "js ts", r"axios\.(get|post|put|delete|patch)\s*\("),
-    ("E9", "net.connect", "js ts", r"net\.connect\s*\("),
-    ("E10", "dgram.createSocket", "js ts", r"dgram\.createSocket\s*\("),
-    ("E11", "ws.WebSocket", "js ts", r"new\s+WebSocket\s*\("),
-    ("E12", "XMLHttpRequest", "js ts", r"new\s+XMLHttpRequest\s*\("),
-    ("E13", "net/http", "go", r"http\.Get\s*\(|http\.Post\s*\("),
-    ("E14", "http.NewRequest", "go", r"http\.NewRequest\s*\("),
-    ("E15", "rpc.Dial", "go", r"rpc\.Dial\s*\("),
+    ("E1", "requests.%s", (PY,), r"requests\.(get|post|put|delete|patch)\s*\("),
+    ("E2", "urllib.request.urlopen", (PY,), r"urllib\.request\.urlopen\s*\("),
+    ("E3", "http.client.HTTPConnection", (PY,), r"http\.client\.HTTPConnection\s*\("),
+    ("E4", "socket.connect", (PY,), r"\.connect\s*\("),
+    ("E5", "smtplib.SMTP", (PY,), r"smtplib\.SMTP\s*\("),
+    ("E6", "paramiko.SSHClient", (PY,), r"paramiko\.SSHClient\s*\("),
+    ("E7", "fetch", (JS, TS), r"fetch\s*\("),
+    ("E8", "axios.%s", (JS, TS), r"axios\.(get|post|put|delete|patch)\s*\("),
+    ("E9", "net.connect", (JS, TS), r"net\.connect\s*\("),
+    ("E10", "dgram.createSocket", (JS, TS), r"dgram\.createSocket\s*\("),
+    ("E11", "ws.WebSocket", (JS, TS), r"new\s+WebSocket\s*\("),
+    ("E12", "XMLHttpRequest", (JS, TS), r"new\s+XMLHttpRequest\s*\("),
+    ("E13", "net/http", (GO,), r"http\.Get\s*\(|http\.Post\s*\("),
+    ("E14", "http.NewRequest", (GO,), r"http\.NewRequest\s*\("),
+    ("E15", "rpc.Dial", (GO,), r"rpc\.Dial\s*\("),
 ]
 
 # Fixed values: (id, rule, severity, confidence, weakness, pattern, message)
 DESCRIPTION_RULES = [
-    ("D1", "mcp-tool-poisoning", CRITICAL, SURE, "CWE-1321", 
+    ("D1", "mcp-tool-poisoning", CRITICAL, CONF_HIGH, "CWE-1321", 
      r"(?i)<(IMPORTANT|SYSTEM|INST|INSTRUCTION|HIDDEN|NOTE)[^>]*>",
      "Tool description contains hidden instruction tag <%s>"),
-    ("D2", "mcp-sensitive-path-ref", HIGH, SURE, "CWE-200", 
+    ("D2", "mcp-sensitive-path-ref", HIGH, CONF_HIGH, "CWE-200", 
      r"(?i)~\/\.(ssh|aws|cursor|config|gnupg|docker|kube)",
      "Tool description references sensitive file path: %s"),
-    ("D3", "mcp-secrecy-instruction", HIGH, SURE, "CWE-1321", 
+    ("D3", "mcp-secrecy-instruction", HIGH, CONF_HIGH, "CWE-1321", 
      r"(?i)do\s+not\s+(tell|mention|inform|show|reveal|display)",
      "Tool description instructs LLM to hide behavior: %s"),
-    ("D4", "mcp-prompt-override", CRITICAL, LIKELY, "CWE-74", 
+    ("D4", "mcp-prompt-override", CRITICAL, CONF_MEDIUM, "CWE-74", 
      r"(?i)(ignore|forget|disregard|override|bypass).{0,50}(previous|prior|above|earlier|instructions|rules)",
      "Tool description attempts to override LLM instructions: %s"),
-    ("D5", "mcp-exfiltration-instruction", CRITICAL, LIKELY, "CWE-200", 
+    ("D5", "mcp-exfiltration-instruction", CRITICAL, CONF_MEDIUM, "CWE-200", 
      r"(?i)pass.{0,30}(content|data|file|key|secret|token).{0,30}(parameter|argument|field|param)",
      "Tool description instructs data exfiltration via parameter: %s"),
-    ("D6", "mcp-credential-access", CRITICAL, SURE, "CWE-522", 
+    ("D6", "mcp-credential-access", CRITICAL, CONF_HIGH, "CWE-522", 
      r"(?i)(read|access|open|cat|get).{0,30}(id_rsa|credentials|\.env|mcp\.json|config\.json|password|secret)",
      "Tool description instructs credential access: %s"),
-    ("D7", "mcp-html-comment-injection", CRITICAL, SURE, "CWE-74", 
+    ("D7", "mcp-html-comment-injection", CRITICAL, CONF_HIGH, "CWE-74", 
      r"(?i)<!--.*?(ignore|override|bypass|always|must|required|system|instruction|exfiltrate|credential).*?-->",
      "HTML comment with instruction-like content detected in description: %s"),
-    ("D8", "mcp-markdown-hidden-comment", HIGH, LIKELY, "CWE-74", 
+    ("D8", "mcp-markdown-hidden-comment", HIGH, CONF_MEDIUM, "CWE-74", 
      r"\[//\]:\s*#",
      "Markdown hidden comment syntax detected in description: %s"),
-    ("D9", "mcp-role-marker-injection", CRITICAL, LIKELY, "CWE-74", 
+    ("D9", "mcp-role-marker-injection", CRITICAL, CONF_MEDIUM, "CWE-74", 
      r"(?i)(^|\s)(SYSTEM|USER)\s*:",
      "LLM role marker (SYSTEM:/USER:) detected in description: %s"),
-    ("D10", "mcp-imperative-redirect", HIGH, LIKELY, "CWE-74", 
+    ("D10", "mcp-imperative-redirect", HIGH, CONF_MEDIUM, "CWE-74", 
      r"(?i)\b(always|must|required)\b.{0,60}(call|invoke|run|execute|send|read|access|exfiltrate|fetch)",
      "Imperative instruction redirecting agent behavior: %s"),
-    ("D11", "mcp-cross-tool-reference", HIGH, LIKELY, "CWE-74", 
+    ("D11", "mcp-cross-tool-reference", HIGH, CONF_MEDIUM, "CWE-74", 
      r"(?i)before\s+(using|calling|invoking)\s+this\s+tool.{0,60}(call|invoke|run|use)",
      "Description references another tool to call first (possible chained injection): %s"),
-    ("D12", "mcp-emotional-manipulation", HIGH, GUESS, "CWE-74", 
+    ("D12", "mcp-emotional-manipulation", HIGH, CONF_LOW, "CWE-74", 
      r"(?i)\b(urgent|critical\s+override|emergency|immediately\s+required)\b",
      "Emotional manipulation language detected in description: %s"),
 ]
 
-# Fixed values: (id, rule, severity, weakness, pattern, message); confidence is LIKELY.
+# Fixed values: (id, rule, severity, weakness, pattern, message); confidence is CONF_MEDIUM.
 ARGUMENT_RULES = [
     ("A1", "mcp-shell-metachar", HIGH, "CWE-78", 
      r"[;&|`$()]",
@@ -265,7 +287,7 @@ ARGUMENT_RULES = [
      "RFC 1918 private IP (192.168.x.x) in argument — possible SSRF: %s"),
 ]
 
-# Fixed values: (id, rule, severity, weakness, pattern, message); confidence is SURE.
+# Fixed values: (id, rule, severity, weakness, pattern, message); confidence is CONF_HIGH.
 RESPONSE_RULES = [
     ("R1", "mcp-response-aws-key", CRITICAL, "CWE-200", 
      r"AKIA[A-Z0-9]{16}",
@@ -491,3 +513,17 @@ VULNERABLE_PACKAGES = [
     ("create-mcp-server-stdio", "0.9.9", "CVE-2025-54994", 10.0, CRITICAL,
      "Command injection via server name in exec()"),
 ]
+
+# Patterns with several unbounded gaps, as the steps between the gaps.
+LINEAR_FORMS = {
+    r"(?i)(select|insert|update|delete|drop|union).+(from|into|table|set)":
+        [r"(?i)select|insert|update|delete|drop|union", r"(?s).", r"(?i)from|into|table|set"],
+    r"(return|console\.(log|warn|error)|res\.(send|json|write)|\.push|\.join|`).*process\.env\.[A-Z_][A-Z0-9_]*":
+        [r"return|console\.(?:log|warn|error)|res\.(?:send|json|write)|\.push|\.join|`", r"process\.env\.[A-Z_]"],
+    r"(?i)<!--.*?(ignore|override|bypass|always|must|required|system|instruction|exfiltrate|credential).*?-->":
+        [r"<!--", r"(?i)ignore|override|bypass|always|must|required|system|instruction|exfiltrate|credential", r"-->"],
+    r"(?i)(curl|wget)\s+.*-[oO]\s+\S+.*&&.*(chmod|exec|\.\/)":
+        [r"(?i)(?:curl|wget)\s", r"(?i)-o\s+\S", r"&&", r"(?i)chmod|exec|\./"],
+    r"(?i)(process\.env\.|getenv\().*?(curl|wget|fetch|http\.get|axios)":
+        [r"(?i)process\.env\.|getenv\(", r"(?i)curl|wget|fetch|http\.get|axios"],
+}

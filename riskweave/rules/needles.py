@@ -1,72 +1,23 @@
 """Literal strings a pattern cannot match without.
 
 ``contains`` on UTF-8 bytes is far cheaper than a regular expression, so every rule
-is guarded by the literals one of which must occur in the text.  The guard is a
-necessary condition only: it never changes which rows match.
+is guarded by the literals that must occur in the text.  The guard is a necessary
+condition only: it never changes which rows match.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-_parser = re._parser
+from riskweave.rules.dialect import Needles, translate
 
 
-def _usable(word: str) -> bool:
-    """Single letters, digits and spaces are too common to be worth a look."""
-    return len(word) > 1 or not (word.isalnum() or word.isspace())
-
-
-@dataclass(frozen=True)
-class Needles:
-    """Any of ``words`` must occur; ``folded`` compares in lower case."""
-
-    words: tuple[str, ...]
-    folded: bool
-
-
-def _alternatives(items) -> frozenset[str] | None:
-    """The most selective set of literals of which one is always present."""
-    best: frozenset[str] | None = None
-    run = ""
-
-    def offer(words):
-        nonlocal best
-        if not words or not all(map(_usable, words)):
-            return
-        if best is None or min(map(len, words)) > min(map(len, best)):
-            best = frozenset(words)
-
-    for op, arg in [*items, (None, None)]:
-        if op is _parser.LITERAL:
-            run += chr(arg)
-            continue
-        offer({run} if run else None)
-        run = ""
-        if op is _parser.SUBPATTERN:
-            offer(_alternatives(arg[-1]))
-        elif op is _parser.BRANCH:
-            branches = [_alternatives(b) for b in arg[1]]
-            if all(branches):
-                offer(frozenset().union(*branches))
-        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] >= 1:
-            offer(_alternatives(arg[2]))
-    return best
-
-
-def needles(pattern: str) -> Needles | None:
-    """Needles of an RE2 pattern, or None when it has no usable literal."""
-    tree = _parser.parse(pattern)
-    words = _alternatives(tree)
-    if words is None:
-        return None
-    folded = bool(tree.state.flags & re.IGNORECASE)
-    if folded:
-        words = {w.lower() for w in words}
-    return Needles(tuple(sorted(words)), folded)
+def needles(pattern: str) -> tuple[Needles, ...]:
+    """Sets of literals of an RE2 pattern; one word of each set must occur."""
+    return translate(pattern).needles
 
 
 def fold(text: Column) -> Column:
@@ -75,12 +26,9 @@ def fold(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("ſ"), F.lit("s")))
 
 
-def guard(found: Needles | None, text: Column, folded: Column) -> Column | None:
+def guard(found: Sequence[Needles], text: Column, folded: Column) -> Column | None:
     """True where the text may match; None when every text may."""
-    if found is None:
+    if not found:
         return None
-    subject = folded if found.folded else text
-    condition = F.contains(subject, F.lit(found.words[0]))
-    for word in found.words[1:]:
-        condition = condition | F.contains(subject, F.lit(word))
-    return condition
+    any_of = [reduce(Column.__or__, [F.contains(folded if n.folded else text, F.lit(w)) for w in n.words]) for n in found]
+    return reduce(Column.__and__, any_of)

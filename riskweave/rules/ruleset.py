@@ -10,6 +10,12 @@ from riskweave.rules.dialect import to_java
 from riskweave.rules.needles import Needles, needles
 
 
+def to_java_steps(steps: list[str]) -> str:
+    """From the start of the line, each step at its earliest place after the one before; a step once taken is not taken back."""
+    *first, last = steps
+    return r"\A" + "".join(rf"(?>[^\n]*?(?:{to_java(step)}))" for step in first) + rf"[^\n]*?(?:{to_java(last)})"
+
+
 @dataclass(frozen=True)
 class Rule:
     """One pattern of one rule; a user-supplied rule is one more of these."""
@@ -24,12 +30,16 @@ class Rule:
     langs: tuple[str, ...] = ()
     excludes: tuple[str, ...] = ()
     secret: bool = False
-    needles: Needles | None = field(init=False, compare=False)
+    needles: tuple[Needles, ...] = field(init=False, compare=False)
     java: str = field(init=False, compare=False)
+    #: Tests a text of one line in linear time, where the pattern would go back and forth.
+    linear: str | None = field(init=False, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "needles", needles(self.pattern))
         object.__setattr__(self, "java", to_java(self.pattern))
+        form = c.LINEAR_FORMS.get(self.pattern)
+        object.__setattr__(self, "linear", to_java_steps(form) if form else None)
 
     @cached_property
     def template(self) -> str:
@@ -38,17 +48,12 @@ class Rule:
         return head + verb + tail.replace("%s", "")
 
 
-def _langs(codes: str) -> tuple[str, ...]:
-    return tuple(c.LANGUAGES[code] for code in codes.split())
-
-
 SOURCE = tuple(
-    Rule(id_, rule, severity, confidence, cwe, pattern, message, _langs(langs),
-         tuple(c.SOURCE_EXCLUDES.get(id_, ())), id_ in c.SECRET_RULE_IDS)
-    for id_, rule, severity, confidence, cwe, langs, pattern, message in c.SOURCE_RULES)
+    Rule(id_, rule, severity, confidence, cwe, pattern, message, langs, tuple(excludes), secret)
+    for id_, rule, severity, confidence, cwe, langs, pattern, message, excludes, secret in c.SOURCE_RULES)
 CREDENTIALS = tuple(r for r in SOURCE if r.id in c.CREDENTIAL_RULE_IDS)
 EGRESS = tuple(
-    Rule(id_, "mcp-network-egress", c.WARNING, c.UNSET, None, pattern, method, _langs(langs))
+    Rule(id_, "mcp-network-egress", c.WARNING, c.UNSET, None, pattern, method, langs)
     for id_, method, langs, pattern in c.EGRESS_RULES)
 DESCRIPTIONS = tuple(Rule(*row) for row in c.DESCRIPTION_RULES)
 
@@ -58,8 +63,8 @@ def _with_confidence(rows, confidence):
                  for id_, rule, severity, cwe, pattern, message in rows)
 
 
-ARGUMENTS = _with_confidence(c.ARGUMENT_RULES, c.LIKELY)
-RESPONSES = _with_confidence(c.RESPONSE_RULES, c.SURE)
+ARGUMENTS = _with_confidence(c.ARGUMENT_RULES, c.CONF_MEDIUM)
+RESPONSES = _with_confidence(c.RESPONSE_RULES, c.CONF_HIGH)
 HOOKS = _with_confidence(c.HOOK_RULES, c.UNSET)
 PYTHON_HOOKS = _with_confidence(c.PYTHON_HOOK_RULES, c.UNSET)
 ALL = SOURCE + EGRESS + DESCRIPTIONS + ARGUMENTS + RESPONSES + HOOKS + PYTHON_HOOKS
