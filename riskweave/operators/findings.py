@@ -11,10 +11,10 @@ from riskweave.functions.labels import SEVERITIES, confidence_level, severity_le
 
 # Category by the beginning of a rule's name, first match wins.
 CATEGORIES = [
-    ("hook", ("mcp-install-hook",)),
-    ("credential", ("mcp-hardcoded", "mcp-response")),
-    ("description", ("mcp-tool", "mcp-sensitive", "mcp-secrecy", "mcp-prompt", "mcp-exfiltration", "mcp-credential", "mcp-unicode")),
-    ("source", ("mcp-cmd", "mcp-code", "mcp-path", "mcp-ssrf", "mcp-env", "mcp-destructive", "mcp-unsafe", "mcp-dynamic", "mcp-sandbox", "mcp-config", "mcp-network", "mcp-outbound", "mcp-xss")),
+    ("source", ("mcp-cmd-", "mcp-code-", "mcp-path-traversal-risk")),
+    ("hook", ("mcp-install-hook-",)),
+    ("description", ("mcp-tool-", "mcp-sensitive-path", "mcp-secrecy", "mcp-prompt-", "mcp-exfiltration", "mcp-credential-access", "mcp-unicode")),
+    ("credential", ("mcp-hardcoded",)),
 ]
 TOP_CWES = 10
 
