@@ -8,19 +8,20 @@ Only leftovers move, so the shuffles are a small part of the pieces.
 
 from __future__ import annotations
 
-import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.storage import materialize
-from riskweave.llm.words import slices, split
+from riskweave.llm.words import slices, split_arrow
 
 CAPACITY = 2048
 #: A bin of at least this share of the capacity is not packed further.
@@ -32,7 +33,9 @@ FAN_IN = 8
 #: Pieces that a task of the first round holds before it packs them.
 PIECES_AT_ONCE = 100_000
 #: Distinct words whose ids a worker keeps.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
+#: Bytes of text whose words are looked up together.
+SLICE_BYTES = 12 << 20
 
 MEMBER = T.StructType(
     [
@@ -62,36 +65,66 @@ ARROW_BIN = pa.schema(
 )
 
 
+#: A word of Latin letters and the marks after it; the tokenizer lower-cases the letters and takes the marks as a word of their own.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?*%&$#|]*$"
+LETTERS, MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?*%&$#|]+$"
+
+
 class WordEncoder:
-    """Token ids of whole texts; each distinct white-space separated word is given to the tokenizer once.
+    """Token ids of whole texts; each distinct word is given to the tokenizer once.
 
     The tokenizer drops white space before it merges, so the ids of a text are
-    those of its words in order.
+    those of its words in order.  Plain words are known by their lower-cased
+    letters and their marks, all others as they stand.
     """
 
     def __init__(self, path: str):
+        # Spark's tasks are the threads.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+
+    def units(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Distinct units, and the two of each word; the empty one stands where a word has no second."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        letters = pc.if_else(plain, pc.utf8_lower(pc.replace_substring_regex(words, MARKS, "")), words)
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, LETTERS, ""), "")
+        coded = pa.concat_arrays([letters, marks]).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        return coded.dictionary, np.stack([at[: len(words)], at[len(words) :]], axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text begins."""
-        words, at, bounds = split(texts)
-        missing = [w for w in words if w not in self.known]
+        words, at, bounds = split_arrow(texts)
+        units, pairs = self.units(words)
+        units = units.to_pylist()
+        missing = [u for u in units if u not in self.known]
         if len(self.known) + len(missing) > WORDS_KEPT:
-            self.known, missing = {}, words
+            self.known, missing = {}, units
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        ids = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        ids = [self.known[u] for u in units]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
-        each = sizes[at]
+        places = pairs[at].ravel()
+        each = sizes[places]
         ends = np.concatenate([[0], np.cumsum(each)])
-        places = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], each)
-        return flat[places], ends[bounds]
+        chosen = np.arange(ends[-1]) + np.repeat(starts[places] - ends[:-1], each)
+        return flat[chosen], ends[2 * bounds]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -145,10 +178,10 @@ class _Writer:
 
 def _first_round(path: str, capacity: int, full: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer = WordEncoder(path), _Writer(0, full)
+        encoder, writer = encoder_of(path), _Writer(0, full)
         items: list[tuple[int, list[dict]]] = []
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, bounds = encoder.encode(texts)
                 doc_ids = batch.column(0).slice(first, len(texts)).to_pylist()
                 for doc_id, a, b in zip(doc_ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -25,19 +25,25 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
         first = last
 
 
-def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def split_arrow(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct ASCII-white-space separated words, the number of the word at each place, and the places where each text begins (one more than texts)."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-    flat = pc.list_flatten(lists)
-    full = pc.greater(pc.binary_length(flat), 0)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    if not pc.all(full).as_py() and len(flat):
-        keep = full.to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # white space at either end of a text leaves empty words
+        keep = at != empty
         bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
-        flat = flat.filter(full)
-    coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds
+        at = at[keep]
+    return words, at, bounds
+
+
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``split_arrow``, with the words as strings."""
+    words, at, bounds = split_arrow(texts)
+    return words.to_pylist(), at, bounds
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
