@@ -8,8 +8,8 @@ are alike by the share of parts on which they agree.
 
 The lower end of the band bounds the lexicon: if a term must be in a share f of
 all documents, at most (distinct terms of a mean document) / f terms can be, so
-the lexicon may be broadcast at any size of corpus.  A size check stands before
-the broadcast all the same.  Everything is built-in column functions.
+the lexicon may be broadcast at any size of corpus.  Everything is built-in
+column functions.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from riskweave.llm.storage import materialize
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
 #: Share of the lexicon that each subset keeps; small ones tell long texts apart, large ones short texts.
 SUBSETS = (1 / 2, 1 / 4, 1 / 8, *[1 / 16] * 3, *[1 / 32] * 4, *[1 / 64] * 4, *[1 / 128] * 4, *[1 / 256] * 5, *[1 / 512] * 5)
-#: A larger lexicon is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 #: Documents of neighbouring ids that one group of the neighbour search holds, about, and bounds at most.
 GROUP_ROWS, MOST_GROUPS = 400, 1 << 14
 TERM_BREAK = r"[^\p{L}\p{N}]+"
@@ -88,19 +86,29 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def parts_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """``keys`` and fingerprint: a hash for each subset, ``_`` where a text has no term of it; ``=`` and a hash of the text where it has no term of any."""
-    small = lexicon.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``keys``, which name a row, and the fingerprint of each text column under its own name.
+
+    Terms are exploded in place and met with the broadcast lexicon; a row's terms
+    stay in its task, where each subset's hash is summed up in a fixed number of
+    bytes.  The sum is a bitwise one over the hashes of distinct terms, so it is
+    that of the sorted terms without the sort.
+    """
     # The empty term stands for every text, so that none is lost in the join.
-    known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets")))
-    spread = texts.select(*keys, F.md5(F.col(text_col)).alias("_whole"), F.explode(F.array_append(terms_of(F.col(text_col)), F.lit(""))).alias("term"))
-    hits = spread.join(F.broadcast(known) if small else known, "term").groupBy(*keys, "_whole").agg(F.sort_array(F.collect_list(F.when(F.col("subsets") > 0, F.struct("term", "subsets")))).alias("t"))
+    known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets"))).withColumn("hash", F.xxhash64("term"))
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.array_append(terms_of(F.col(c)), F.lit("")).alias("terms")) for i, c in enumerate(columns)])
+    whole = [F.md5(F.col(c)).alias(f"_whole{i}") for i, c in enumerate(columns)]
+    spread = texts.select(*keys, *whole, F.explode(each).alias("x")).select(*keys, *[f"_whole{i}" for i in range(len(columns))], "x.kind", F.explode("x.terms").alias("term"))
+    hits = spread.join(F.broadcast(known), "term").groupBy(*keys, *[f"_whole{i}" for i in range(len(columns))])
+    of = lambda i, k: F.when((F.col("kind") == i) & (F.col("subsets").bitwiseAND(1 << k) > 0), F.col("hash"))
+    sums = hits.agg(*[F.bit_xor(of(i, k)).alias(f"_{i}_{k}") for i in range(len(columns)) for k in range(len(SUBSETS))])
 
-    def part(k: int) -> Column:
-        own = F.filter("t", lambda x: x["subsets"].bitwiseAND(1 << k) > 0)
-        return F.when(F.size(own) > 0, F.substring(F.md5(F.array_join(F.transform(own, lambda x: x["term"]), " ")), 1, 8)).otherwise("_")
+    def written(i: int) -> Column:
+        parts = [F.coalesce(F.lower(F.lpad(F.hex(F.col(f"_{i}_{k}").bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit("_")) for k in range(len(SUBSETS))]
+        none = reduce(Column.__and__, [F.col(f"_{i}_{k}").isNull() for k in range(len(SUBSETS))])
+        return F.when(none, F.concat(F.lit("="), F.col(f"_whole{i}"))).otherwise(F.concat_ws("-", *parts))
 
-    return hits.select(*keys, F.when(F.size("t") > 0, F.concat_ws("-", *[part(k) for k in range(len(SUBSETS))])).otherwise(F.concat(F.lit("="), F.col("_whole"))).alias("fingerprint"))
+    return sums.select(*keys, *[written(i).alias(c) for i, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -129,8 +137,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     edited = F.concat(F.left(F.col("text"), (F.col("n_chars") - third).cast("int")), F.left(F.col("next_text"), third))
     near = near.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["part", "row", "doc_id", "n_chars", "edited_sha256", "next_part", "next_row"]
-    both = near.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select(*keys, "x.kind", "x.text")
-    prints = parts_of(both, lexicon, [*keys, "kind"]).groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    prints = fingerprints_of(near.select(*keys, F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")), lexicon, keys, ["fingerprint", "edited_fingerprint"])
     prints = materialize(prints)
     following = prints.select(F.col("part").alias("next_part"), F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
     return prints.join(following, ["next_part", "next_row"], "left").select(
