@@ -50,6 +50,10 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"
 SPACE = re.compile(r"\s+")
 
 
+#: Elements deeper than this are read as if they stood beside each other, as browsers do.
+MOST_DEPTH = 512
+
+
 class Node:
     __slots__ = ("tag", "parent", "items", "dropped", "likely", "points")
 
@@ -75,7 +79,7 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
 def parse(page: str) -> Node:
     """The tree of a page, whatever its errors; elements that are left out are empty."""
     root = node = Node("html", None)
-    at, n = 0, len(page)
+    at, n, depth = 0, len(page), {id(root): 0}
     while at < n:
         m = TOKEN.search(page, at)
         if not m:
@@ -124,19 +128,12 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             child.items.append(page[at : end.start() if end else n])
             at = end.end() if end else n
-        elif not (m[3] or "").endswith("/") or tag not in ("path", "use", "rect", "circle"):
+        elif depth[id(node)] < MOST_DEPTH:
+            depth[id(child)] = depth[id(node)] + 1
             node = child
     return root
 
 
-def _inline(node: Node, out: list[str]) -> None:
-    for x in node.items:
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.dropped:
-            _inline(x, out)
-
-
 def blocks(node: Node) -> list[tuple[Node, str, int]]:
     """(block element, text, characters of it in links) in page order, what is left out not counted."""
     out: list[tuple[Node, str, int]] = []

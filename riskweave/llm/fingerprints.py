@@ -95,7 +95,7 @@ def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], colum
     that of the sorted terms without the sort.
     """
     # The empty term stands for every text, so that none is lost in the join.
-    known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets"))).withColumn("hash", F.xxhash64("term"))
+    known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets"))).withColumn("hash", F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long"))
     each = F.array(*[F.struct(F.lit(i).alias("kind"), F.array_append(terms_of(F.col(c)), F.lit("")).alias("terms")) for i, c in enumerate(columns)])
     whole = [F.md5(F.col(c)).alias(f"_whole{i}") for i, c in enumerate(columns)]
     spread = texts.select(*keys, *whole, F.explode(each).alias("x")).select(*keys, *[f"_whole{i}" for i in range(len(columns))], "x.kind", F.explode("x.terms").alias("term"))
