@@ -26,14 +26,14 @@ def query(sql: str | None = None):
 
 HOSTS = ["8.8.8.8", "10.1.2.3", "172.31.0.1", "172.32.0.1", "192.168.7.7", "169.254.169.254", "127.0.0.1", "2001:db8::1", "host.example", "256.1.1.1"]
 PORTS = ["53", "80", "443", "8080"]
-K = F.col("l_orderkey") * 7 + F.col("l_linenumber")
 _K = "(l_orderkey * 7 + l_linenumber)"
 CALLS = ["connect(3, {sa_family=AF_INET, sin_port=htons(", "sendto(4, buf, 10, 0, {sa_family=AF_INET, sin_port=htons(", "connect(5, {sa_family=AF_INET6, sin6_port=htons(", "write(1, "]
 ADDRESSES = ['), sin_addr=inet_addr("', '), sin_addr=inet_addr("', '), sin6_addr=inet_pton(AF_INET6, "', '", "']
 
 
 def trace_lines(spark, sf_dir):
-    line = F.concat(pick(CALLS, K), pick(PORTS, F.floor(K / 3)), pick(ADDRESSES, K), pick(HOSTS, F.floor(K / 5)), F.lit('")}, 16) = 0'))
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    line = F.concat(pick(CALLS, k), pick(PORTS, F.floor(k / 3)), pick(ADDRESSES, k), pick(HOSTS, F.floor(k / 5)), F.lit('")}, 16) = 0'))
     return corpora.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("srv"), (F.col("l_suppkey") % 9).cast("string")).alias("target"), F.concat(F.lit("tool"), F.col("l_suppkey").cast("string")).alias("tool_name"), line.alias("line"))
 
 

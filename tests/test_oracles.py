@@ -40,3 +40,10 @@ def test_equals_sql(spark, duck, name):
 
 def test_every_query_but_fingerprints_has_sql():
     assert set(core.QUERIES) - set(core.ORACLES) == {"tool_fingerprint"}
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
