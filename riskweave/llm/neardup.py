@@ -8,8 +8,11 @@ of their weighted Jaccard similarity.  Sets of samples are band keys; texts that
 share a key are compared exactly.
 
 Equal texts are one class from the start.  Within a band key every text is
-compared with the key's smallest only; then texts that this has not brought
-together, but whose samples say that they may be similar, are compared too.
+compared with the key's leader only, the text that shares most keys with others:
+the original of a group of edited copies, where there is one.  Keys that still
+hold texts of several groups are treated once more: in small ones all texts of
+different groups are compared, the texts of large ones get longer keys, which
+only very similar texts share.
 """
 
 from __future__ import annotations
@@ -45,7 +48,11 @@ R = _RANDOM.gamma(2, 1, _TABLE).astype(np.float32)
 LOG_C = np.log(_RANDOM.gamma(2, 1, _TABLE)).astype(np.float32)
 BETA = _RANDOM.uniform(0, 1, _TABLE).astype(np.float32)
 ODD = (_RANDOM.integers(1, 1 << 62, SAMPLES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+#: A key of at most so many texts has its texts of different groups compared, all with all.
+SMALL = 24
+LONG_ROWS, LONG_BANDS = 8, 48
 BAND_OF = [sorted(_RANDOM.choice(SAMPLES, ROWS, replace=False).tolist()) for _ in range(BANDS)]
+LONG_BAND_OF = [sorted(_RANDOM.choice(SAMPLES, LONG_ROWS, replace=False).tolist()) for _ in range(LONG_BANDS)]
 _EDGE = string.punctuation + "“”‘’«»…–—¿¡"
 
 
@@ -209,23 +216,38 @@ def _alike(threshold: float, least: int) -> Column:
     return (F.least("weight", "weight_b") >= (threshold - 1e-9) * F.greatest("weight", "weight_b")) & (_agreeing(F.col("samples"), F.col("samples_b")) >= least)
 
 
+def _keyed(texts: DataFrame, bands: list[list[int]]) -> DataFrame:
+    """band, key, n and leader a for every key that more than one text has."""
+    band = F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.get("samples", k) for k in own]) for i, own in enumerate(bands)])).alias("band")
+    keyed = texts.select("key", band)
+    counts = materialize(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = materialize(keyed.join(counts, "band"))
+    rank = materialize(shared.groupBy("key").agg(F.sum(F.log(F.col("n").cast("double"))).alias("rank")))
+    ranked = materialize(shared.join(rank, "key"))
+    leaders = materialize(ranked.groupBy("band").agg(F.max(F.struct("rank", "key")).alias("a")).select("band", "a.key").withColumnRenamed("key", "a"))
+    return materialize(ranked.drop("rank").join(leaders, "band"))
+
+
+def _crossing(labelled: DataFrame) -> DataFrame:
+    """Pairs of texts of small keys that carry different labels."""
+    own = labelled.where(F.col("n") <= SMALL).select("band", "key", "label")
+    other = own.select("band", F.col("key").alias("b"), F.col("label").alias("b_label"))
+    return own.withColumnRenamed("key", "a").join(other, "band").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("b_label"))).select("a", "b").distinct()
+
+
 def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key), key naming the whole text, and links (a, b, similarity) between keys that connect all similar texts."""
+    """Rows (doc_id, key), key naming the whole text, and links (a, b, similarity) between keys that connect similar texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     idf = docs.sparkSession.sparkContext.broadcast(word_idf(rows))  # frequent words only
     signed = materialize(rows.mapInArrow(_sign(idf), "doc_id long, key binary, weight double, samples array<long>"))
     texts = materialize(signed.where("weight > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("samples").alias("samples")))
-
-    band = F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.get("samples", k) for k in own]) for i, own in enumerate(BAND_OF)])).alias("band")
-    banded = texts.select("key", band)
-    leaders = materialize(banded.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a"))
-    shared_bands = materialize(banded.join(leaders, "band").select("band", "a", "key"))
-    slim = texts.select("key", "weight", "samples")
-    right = slim.select(F.col("key").alias("b"), F.col("weight").alias("weight_b"), F.col("samples").alias("samples_b"))
+    left = texts.select(F.col("key").alias("a"), "weight", "samples")
+    right = texts.select(F.col("key").alias("b"), F.col("weight").alias("weight_b"), F.col("samples").alias("samples_b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar: a's text meets those of b in chunks."""
+        pairs = materialize(materialize(pairs).join(right, "b").join(left, "a").where(_alike(threshold, LEAST_AGREEING)).select("a", "b"))
         chunks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")))
         pairs = materialize(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
         needs = pairs.select(F.col("b").alias("key"), "a", "chunk").unionByName(pairs.select(F.col("a").alias("key"), "a", "chunk").distinct())
@@ -233,22 +255,21 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         wanted = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(needs, ["key", "_id"]).select("a", "chunk", "key", "text")
         return materialize(wanted.groupBy("a", "chunk").applyInArrow(_similar(idf, threshold), "a binary, b binary, similarity double"))
 
-    first = shared_bands.where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
-    first = materialize(first).join(right, "b").join(slim.withColumnRenamed("key", "a"), "a").where(_alike(threshold, LEAST_AGREEING)).select("a", "b")
-    links = verified(materialize(first))
+    keyed = _keyed(texts, BAND_OF)
+    star = lambda k: k.where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
+    links = verified(star(keyed))
 
-    # What a comparison with the smallest text of a key has not brought together.
     labels = components(links)
-    labelled = materialize(shared_bands.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
-    lead = labelled.where(F.col("a") == F.col("key")).select("band", F.col("label").alias("lead"))
-    apart = materialize(labelled.join(lead, "band").where(F.col("label") != F.col("lead")).select("band", "a", "key", "label"))
-    # The smallest text itself has been compared with all of its key.
-    left = apart.join(slim, "key").select("band", F.col("key").alias("x"), F.col("label").alias("x_label"), "weight", "samples")
-    again = labelled.join(apart.select("band").distinct(), "band", "left_semi").where(F.col("a") != F.col("key")).join(slim, "key")
-    again = materialize(again.select("band", F.col("key").alias("y"), F.col("label").alias("y_label"), F.col("weight").alias("weight_b"), F.col("samples").alias("samples_b")))
-    more = materialize(left).join(again, "band").where((F.col("x_label") != F.col("y_label")) & _alike(threshold, LEAST_AGREEING))
-    more = materialize(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return signed.select("doc_id", "key"), links.unionByName(verified(more))
+    label = lambda k: materialize(k.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+    mixed = lambda k: k.join(materialize(k.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")), "band")
+    apart = materialize(mixed(label(keyed)))
+    large = apart.where(F.col("n") > SMALL).select("key").distinct()
+    longer = materialize(mixed(label(_keyed(texts.join(large, "key", "left_semi"), LONG_BAND_OF))))
+    lead = longer.where(F.col("a") == F.col("key")).select("band", F.col("label").alias("lead"))
+    again = longer.join(lead, "band").where(F.col("label") != F.col("lead"))
+    more = _crossing(apart).unionByName(_crossing(longer)).unionByName(star(again)).distinct()
+    done = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return signed.select("doc_id", "key"), links.unionByName(verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
