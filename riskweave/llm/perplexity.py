@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,9 +131,8 @@ def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[at] == wanted, at
 
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from how many grams have each of 1 to 4."""
-    n = {r["c"]: r["k"] for r in counts.where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
     if not n.get(1) or not n.get(2):
         return 0.5, 0.75, 0.9
     y = n[1] / (n[1] + 2 * n[2])
@@ -144,20 +144,21 @@ def train(texts: DataFrame, *, text_col: str = "text", least_share: float = LEAS
     """The model of all ``texts``; None where there is no text."""
     one = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("text != ''")
     full = materialize(one.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    total = full.agg(F.sum("n")).first()[0]
-    if not total:
-        return None
     # Order k: c is what Kneser-Ney counts (occurrences in the highest order, distinct symbols before the gram in the others), n the occurrences.
     tables = {ORDER: full.select("gram", F.col("n").alias("c"), "n")}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy(F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
-    distinct = tables[1].count() + 1
+        tables[k] = materialize(tables[k + 1].groupBy(F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")))
+    of_all = reduce(DataFrame.unionByName, [t.select(F.lit(k).alias("k"), F.least("c", F.lit(5)).alias("c"), "n") for k, t in tables.items()])
+    seen = {(r["k"], r["c"]): r for r in of_all.groupBy("k", "c").agg(F.count(F.lit(1)).alias("grams"), F.sum("n").alias("n")).collect()}  # at most 25 rows
+    total = sum(r["n"] for (k, _), r in seen.items() if k == ORDER)
+    if not total:
+        return None
+    distinct = sum(r["grams"] for (k, _), r in seen.items() if k == 1) + 1
     least = max(1.0, least_share * total)
-    model = Model([], [], [], [], -float(np.log2(distinct)))
-    lower = None
+    lower, kept = None, []
     for k in range(1, ORDER + 1):
         counts = tables[k]
-        d = _discounts(counts)
+        d = _discounts({c: r["grams"] for (own, c), r in seen.items() if own == k and c <= 4})
         discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
         contexts = counts.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("all"), (F.sum(discount) / F.sum("c")).alias("rest"), F.sum("n").alias("n"))
         known = counts.withColumn("context", F.shiftright("gram", BITS)).join(contexts.select("context", "all", "rest"), "context")
@@ -166,11 +167,13 @@ def train(texts: DataFrame, *, text_col: str = "text", least_share: float = LEAS
             known = known.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
             below = F.col("below")
         lower = materialize(known.select("gram", "n", ((F.col("c") - discount) / F.col("all") + F.col("rest") * below).alias("p")))
-        got = lower.where(F.col("n") >= least).select("gram", F.log2("p").alias("log")).toArrow().sort_by("gram")
-        rest = contexts.where(F.col("n") >= least).select("context", F.log2("rest").alias("log")).toArrow().sort_by("context")
-        for own, table, name in ((model.grams, got, "gram"), (model.logs, got, "log"), (model.contexts, rest, "context"), (model.rests, rest, "log")):
-            own.append(table[name].to_numpy())
-    return model
+        kept.append(lower.where(F.col("n") >= least).select(F.lit(k).alias("k"), F.lit(True).alias("is_gram"), F.col("gram").alias("key"), F.log2("p").alias("log")))
+        kept.append(contexts.where(F.col("n") >= least).select(F.lit(k).alias("k"), F.lit(False).alias("is_gram"), F.col("context").alias("key"), F.log2("rest").alias("log")))
+    # At most 2 * ORDER / least_share rows.
+    table = reduce(DataFrame.unionByName, kept).toArrow().sort_by([("k", "ascending"), ("is_gram", "ascending"), ("key", "ascending")])
+    order, is_gram, keys, logs = (table[c].to_numpy() for c in ("k", "is_gram", "key", "log"))
+    part = lambda values, gram: [values[(order == k) & (is_gram == gram)] for k in range(1, ORDER + 1)]
+    return Model(part(keys, True), part(logs, True), part(keys, False), part(logs, False), -float(np.log2(distinct)))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
