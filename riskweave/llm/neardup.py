@@ -235,8 +235,8 @@ def _crossing(labelled: DataFrame) -> DataFrame:
     return own.withColumnRenamed("key", "a").join(other, "band").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("b_label"))).select("a", "b").distinct()
 
 
-def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, key), key naming the whole text, and links (a, b, similarity) between keys that connect similar texts."""
+def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, key), key naming the whole text; links (a, b, similarity) between keys that connect similar texts; the label of each linked key's group."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     idf = docs.sparkSession.sparkContext.broadcast(word_idf(rows))  # frequent words only
@@ -263,13 +263,18 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     label = lambda k: materialize(k.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     mixed = lambda k: k.join(materialize(k.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")), "band")
     apart = materialize(mixed(label(keyed)))
-    large = apart.where(F.col("n") > SMALL).select("key").distinct()
-    longer = materialize(mixed(label(_keyed(texts.join(large, "key", "left_semi"), LONG_BAND_OF))))
-    lead = longer.where(F.col("a") == F.col("key")).select("band", F.col("label").alias("lead"))
-    again = longer.join(lead, "band").where(F.col("label") != F.col("lead"))
-    more = _crossing(apart).unionByName(_crossing(longer)).unionByName(star(again)).distinct()
-    done = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return signed.select("doc_id", "key"), links.unionByName(verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")))
+    large = materialize(apart.where(F.col("n") > SMALL).select("key").distinct())
+    more = _crossing(apart)
+    if large.limit(1).count():
+        longer = materialize(mixed(label(_keyed(texts.join(large, "key", "left_semi"), LONG_BAND_OF))))
+        lead = longer.where(F.col("a") == F.col("key")).select("band", F.col("label").alias("lead"))
+        again = longer.join(lead, "band").where(F.col("label") != F.col("lead"))
+        more = more.unionByName(_crossing(longer)).unionByName(star(again))
+    more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        labels = components(links)
+    return signed.select("doc_id", "key"), links, labels
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -287,8 +292,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id and text are kept or not together.  An empty table gives an empty result.
     Other columns are ignored.
     """
-    rows, links = near_links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    labels = components(links)
+    rows, _, labels = near_links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     labelled = materialize(rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     groups = materialize(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")))
     return labelled.join(groups, "label").select("doc_id", "key", "class_id", "class_rows", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
