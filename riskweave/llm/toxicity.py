@@ -26,9 +26,9 @@ DIMENSIONS = 10
 #: Lengths of character n-grams; words count with ``<`` before and ``>`` after them.
 GRAMS = (3, 4, 5, 6)
 #: Labelled rows of each class that training takes at most.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 1500
 #: Longer texts do not train (they are scored whole all the same); this and SAMPLE_ROWS bound the driver's memory.
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 8_000
 EPOCHS, BATCH, RATE = 8, 32, 0.2
 #: Buckets of fewer texts of the sample have no vector: they would only be learnt by heart.
 LEAST_TEXTS = 3
@@ -65,7 +65,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text as distinct buckets and their shares of the mean over its words."""
     words, at, bounds = split(texts)
     if not words:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(texts)
+        return [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * len(texts)
     found, starts = word_buckets(words)
     weight = 1.0 / np.maximum(np.diff(starts), 1)
     out = []
@@ -74,7 +74,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         parts = [found[starts[w] : starts[w + 1]] for w in own]
         each = np.repeat(times * weight[own] / max(b - a, 1), [len(p) for p in parts]) if parts else np.zeros(0)
         ids, inverse = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_inverse=True)
-        out.append((ids, np.bincount(inverse, weights=each, minlength=len(ids)).astype(np.float32)))
+        out.append((ids.astype(np.int32), np.bincount(inverse, weights=each, minlength=len(ids)).astype(np.float32)))
     return out
 
 
@@ -107,13 +107,18 @@ def train(texts: list[str], toxic: list[int], prior: float, *, seed: int = 7) ->
         share = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, part in slices(pa.array(texts, pa.string())):
+    for _, part in slices(pa.array(texts, pa.string()), 1 << 18):
         rows += bags(part)
     random = np.random.default_rng(seed)
-    used = np.flatnonzero(np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS) >= LEAST_TEXTS)
-    place = np.full(BUCKETS, -1)
+    texts_of = np.zeros(BUCKETS, np.int64)
+    for ids, _ in rows:
+        texts_of[ids] += 1
+    used = np.flatnonzero(texts_of >= LEAST_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    rows = [(place[ids][place[ids] >= 0], w[place[ids] >= 0]) for ids, w in rows]
+    for i, (ids, w) in enumerate(rows):
+        there = place[ids] >= 0
+        rows[i] = (place[ids][there], w[there])
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (len(used), DIMENSIONS))
     softmax, bias = random.normal(0, 1, (DIMENSIONS, 2)), np.zeros(2)
     seen_v, seen_s, seen_b = np.full(len(used), 1e-10), np.full(softmax.shape, 1e-8), np.full(2, 1e-8)
