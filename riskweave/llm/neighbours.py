@@ -171,7 +171,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _search(candidates: int, most: int):
     """Leaves of one cell for the queries that visit it: cost, size and the nearest of each."""
-    schema = pa.schema([("query", pa.int64()), ("leaf", pa.string()), ("cost", pa.float64()), ("size", pa.int64()), ("near", pa.list_(pa.struct([("cid", pa.int64()), ("score", pa.float64())])))])
+    schema = pa.schema([("query", pa.int64()), ("leaf", pa.string()), ("cost", pa.float64()), ("size", pa.int64()), ("near", pa.list_(pa.struct([("score", pa.float64()), ("cid", pa.int64())])))])
 
     def run(key: tuple, own: pa.Table, queries: pa.Table) -> pa.Table:
         tree, cell = (k.as_py() for k in key)
@@ -191,7 +191,7 @@ def _search(candidates: int, most: int):
                 ids = tree_of.rows[k]
                 score = np.sqrt(((vectors[ids] - vector) ** 2).sum(axis=1))
                 best = np.lexsort((cids[ids], score))[:most]
-                rows.append({"query": query, "leaf": f"{tree}-{cell}-{k}", "cost": float(costs[k]), "size": len(ids), "near": [{"cid": int(cids[ids[b]]), "score": float(score[b])} for b in best]})
+                rows.append({"query": query, "leaf": f"{tree}-{cell}-{k}", "cost": float(costs[k]), "size": len(ids), "near": [{"score": float(score[b]), "cid": int(cids[ids[b]])} for b in best]})
         return pa.Table.from_pylist(rows, schema=schema)
 
     return run
@@ -239,10 +239,12 @@ def nearest(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     asked = materialize(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("query_id", F.col("cid").alias("query")))
     queries = asked.select(F.col("query").alias("cid")).distinct().join(classes.select("cid", "vector"), "cid").select("cid", "vector")
     visiting = queries.mapInArrow(_visit(shared, visits), f"tree int, cell int, query long, vector {kind}, cost double")
-    found = index.groupBy("tree", "cell").cogroup(visiting.groupBy("tree", "cell")).applyInArrow(_search(candidates, k + 1), "query long, leaf string, cost double, size long, near array<struct<cid:long,score:double>>")
+    found = index.groupBy("tree", "cell").cogroup(visiting.groupBy("tree", "cell")).applyInArrow(_search(candidates, k + 1), "query long, leaf string, cost double, size long, near array<struct<score:double,cid:long>>")
     # The shared queue: leaves by cost until enough candidates have come.
     before = F.sum("size").over(Window.partitionBy("query").orderBy("cost", "leaf").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    taken = found.withColumn("before", before).where(F.col("before") < candidates).select("query", F.explode("near").alias("c")).groupBy("query", "c.cid").agg(F.min("c.score").alias("score"))
+    taken = found.withColumn("before", before).where(F.col("before") < candidates).groupBy("query", F.substring_index("leaf", "-", 2).alias("cell"))
+    # A cell holds an entry once, so its nearest k + 1 are enough.
+    taken = taken.agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).select("query", F.explode("near").alias("c")).groupBy("query", "c.cid").agg(F.min("c.score").alias("score"))
     by_score = Window.partitionBy("query").orderBy("score", "cid")
     best = materialize(taken.withColumn("_r", F.row_number().over(by_score)).where(F.col("_r") <= k + 1).drop("_r"))
     spread = best.join(ids, "cid").select("query", "score", F.explode("ids").alias("vec_id"))
