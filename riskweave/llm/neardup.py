@@ -50,7 +50,9 @@ BETA = _RANDOM.uniform(0, 1, _TABLE).astype(np.float32)
 ODD = (_RANDOM.integers(1, 1 << 62, SAMPLES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 #: A key of at most so many texts has its texts of different groups compared, all with all.
 SMALL = 24
-LONG_ROWS, LONG_BANDS = 8, 48
+LONG_ROWS, LONG_BANDS = 6, 24
+#: Rows that name the texts to compare are broadcast up to this number (about 60 MB), so that the other texts stay where they are; joined by a shuffle beyond it.
+MOST_NEEDS = 1_000_000
 BAND_OF = [sorted(_RANDOM.choice(SAMPLES, ROWS, replace=False).tolist()) for _ in range(BANDS)]
 LONG_BAND_OF = [sorted(_RANDOM.choice(SAMPLES, LONG_ROWS, replace=False).tolist()) for _ in range(LONG_BANDS)]
 _EDGE = string.punctuation + "“”‘’«»…–—¿¡"
@@ -93,9 +95,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once = np.unique(doc * len(found) + number[at]) % len(found)
             keys.append(found)
             counts.append(np.bincount(once, minlength=len(found)))
-            if sum(map(len, keys)) > 3_000_000:
+            if sum(map(len, keys)) > 1_000_000:
                 keys, counts = ([x] for x in summed())
-                if len(keys[0]) > 1_500_000:
+                if len(keys[0]) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], names=["word", "df"])
                     keys, counts = [], []
     if keys:
@@ -252,7 +254,8 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         pairs = materialize(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
         needs = pairs.select(F.col("b").alias("key"), "a", "chunk").unionByName(pairs.select(F.col("a").alias("key"), "a", "chunk").distinct())
         needs = materialize(needs.join(texts.select("key", F.coalesce("doc_id", F.lit(-1)).alias("_id")), "key"))
-        wanted = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(needs, ["key", "_id"]).select("a", "chunk", "key", "text")
+        small = needs.limit(MOST_NEEDS + 1).count() <= MOST_NEEDS
+        wanted = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(F.broadcast(needs) if small else needs, ["key", "_id"]).select("a", "chunk", "key", "text")
         return materialize(wanted.groupBy("a", "chunk").applyInArrow(_similar(idf, threshold), "a binary, b binary, similarity double"))
 
     keyed = _keyed(texts, BAND_OF)
