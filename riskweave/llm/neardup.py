@@ -9,10 +9,9 @@ share a key are compared exactly.
 
 Equal texts are one class from the start.  Within a band key every text is
 compared with the key's leader only, the text that shares most keys with others:
-the original of a group of edited copies, where there is one.  Keys that still
-hold texts of several groups are treated once more: in small ones all texts of
-different groups are compared, the texts of large ones get longer keys, which
-only very similar texts share.
+the original of a group of edited copies, where there is one.  In keys that
+still hold texts of several groups, all texts of different groups are compared:
+by a join in small keys, block against block in large ones.
 """
 
 from __future__ import annotations
@@ -50,11 +49,11 @@ BETA = _RANDOM.uniform(0, 1, _TABLE).astype(np.float32)
 ODD = (_RANDOM.integers(1, 1 << 62, SAMPLES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 #: A key of at most so many texts has its texts of different groups compared, all with all.
 SMALL = 24
-LONG_ROWS, LONG_BANDS = 6, 24
+#: Texts of a block of a larger key; each task has two blocks.
+BLOCK = 256
 #: Rows that name the texts to compare are broadcast up to this number (about 60 MB), so that the other texts stay where they are; joined by a shuffle beyond it.
 MOST_NEEDS = 1_000_000
 BAND_OF = [sorted(_RANDOM.choice(SAMPLES, ROWS, replace=False).tolist()) for _ in range(BANDS)]
-LONG_BAND_OF = [sorted(_RANDOM.choice(SAMPLES, LONG_ROWS, replace=False).tolist()) for _ in range(LONG_BANDS)]
 _EDGE = string.punctuation + "“”‘’«»…–—¿¡"
 
 
@@ -209,6 +208,69 @@ def _similar(shared, threshold: float):
     return run
 
 
+def _candidates(threshold: float, least: int):
+    """Of two blocks of a key, the texts that may be similar to others: their numbers in the task and those of the others.
+
+    A pair is named in the first key that it shares only.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        one, other = table["i"][0].as_py(), table["j"][0].as_py()
+        which, block, weight = table["which"][0].as_py(), table["block"].to_numpy(), table["weight"].to_numpy()
+        label = table["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+        signed = table["samples"].combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        right = np.flatnonzero(block == other)
+        partners: dict[int, np.ndarray] = {}
+        for p in np.flatnonzero(block == one):
+            q = right[right > p] if one == other else right
+            q = q[(label[q] != label[p]) & (np.minimum(weight[q], weight[p]) >= (threshold - 1e-9) * np.maximum(weight[q], weight[p]))]
+            same = signed[q] == signed[p]
+            enough = same.sum(axis=1) >= least
+            q, same = q[enough], same[enough]
+            shared = same[:, np.array(BAND_OF)].all(axis=2)
+            q = q[shared.any(axis=1) & (shared.argmax(axis=1) == which)]
+            if len(q):
+                partners[int(p)] = q
+        rows = np.unique(np.concatenate([[*partners], *partners.values()])).astype(np.int32) if partners else np.zeros(0, np.int32)
+        lists = [partners.get(int(r), np.zeros(0)).astype(np.int32) for r in rows]
+        return table.select(["band", "i", "j", "key"]).take(pa.array(rows)).append_column("at", pa.array(rows)).append_column("partners", pa.array(lists, pa.list_(pa.int32())))
+
+    return run
+
+
+def _joined(shared, threshold: float):
+    """Links that join the similar ones of a task's pairs; a pair that others have joined needs none."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        at = table["at"].to_numpy()
+        table = table.take(pa.array(np.unique(at, return_index=True)[1]))  # rows may repeat id and text
+        at, names = table["at"].to_numpy(), table["key"].to_pylist()
+        keys, weights, bounds = shingles(table["text"].combine_chunks(), shared.value)
+        total = reduce_at(np.add, weights, bounds, 0.0)
+        found, ids = np.unique(keys, return_inverse=True)
+        own, group = np.zeros(len(found)), np.arange(len(names))
+        out = []
+        for p, partners in enumerate(table["partners"].to_pylist()):
+            q = np.searchsorted(at, np.array(partners, dtype=at.dtype))
+            q = q[group[q] != group[p]]
+            if not len(q):
+                continue
+            own[ids[bounds[p] : bounds[p + 1]]] = weights[bounds[p] : bounds[p + 1]]
+            common = np.array([np.minimum(own[ids[bounds[x] : bounds[x + 1]]], weights[bounds[x] : bounds[x + 1]]).sum() for x in q])
+            own[ids[bounds[p] : bounds[p + 1]]] = 0
+            similarity = common / np.maximum(total[p] + total[q] - common, 1e-12)
+            for x, y in zip(q.tolist(), similarity.tolist(), strict=True):
+                if y >= threshold - 1e-9 and group[x] != group[p]:
+                    group[group == group[x]] = group[p]
+                    out.append((names[p], names[x], y))
+        a, b, similarity = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array(similarity, pa.float64())})
+
+    return run
+
+
 def _agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
@@ -219,8 +281,8 @@ def _alike(threshold: float, least: int) -> Column:
 
 
 def _keyed(texts: DataFrame, bands: list[list[int]]) -> DataFrame:
-    """band, key, n and leader a for every key that more than one text has."""
-    band = F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.get("samples", k) for k in own]) for i, own in enumerate(bands)])).alias("band")
+    """band (and which of ``bands`` it is), key, n and leader a for every key that more than one text has."""
+    band = F.posexplode(F.array(*[F.xxhash64(F.lit(i), *[F.get("samples", k) for k in own]) for i, own in enumerate(bands)])).alias("which", "band")
     keyed = texts.select("key", band)
     counts = materialize(keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = materialize(keyed.join(counts, "band"))
@@ -247,16 +309,28 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     left = texts.select(F.col("key").alias("a"), "weight", "samples")
     right = texts.select(F.col("key").alias("b"), F.col("weight").alias("weight_b"), F.col("samples").alias("samples_b"))
 
+    def with_text(needs: DataFrame) -> DataFrame:
+        """``needs`` with the text of each key."""
+        needs = materialize(needs.join(texts.select("key", F.coalesce("doc_id", F.lit(-1)).alias("_id")), "key"))
+        small = needs.limit(MOST_NEEDS + 1).count() <= MOST_NEEDS
+        return rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(F.broadcast(needs) if small else needs, ["key", "_id"]).select(*[c for c in needs.columns if c != "_id"], "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar: a's text meets those of b in chunks."""
         pairs = materialize(materialize(pairs).join(right, "b").join(left, "a").where(_alike(threshold, LEAST_AGREEING)).select("a", "b"))
         chunks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")))
         pairs = materialize(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
         needs = pairs.select(F.col("b").alias("key"), "a", "chunk").unionByName(pairs.select(F.col("a").alias("key"), "a", "chunk").distinct())
-        needs = materialize(needs.join(texts.select("key", F.coalesce("doc_id", F.lit(-1)).alias("_id")), "key"))
-        small = needs.limit(MOST_NEEDS + 1).count() <= MOST_NEEDS
-        wanted = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(F.broadcast(needs) if small else needs, ["key", "_id"]).select("a", "chunk", "key", "text")
-        return materialize(wanted.groupBy("a", "chunk").applyInArrow(_similar(idf, threshold), "a binary, b binary, similarity double"))
+        return materialize(with_text(needs).groupBy("a", "chunk").applyInArrow(_similar(idf, threshold), "a binary, b binary, similarity double"))
+
+    def rest(large: DataFrame) -> DataFrame:
+        """Links among texts of large keys that carry different labels: all pairs, block against block."""
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = large.join(texts.select("key", "weight", "samples"), "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        met = own.withColumn("_to", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "_to")).withColumn("j", F.greatest("block", "_to"))
+        met = met.select("band", "i", "j", "which", "block", "key", "label", "weight", "samples")
+        found = materialize(met.groupBy("band", "i", "j").applyInArrow(_candidates(threshold, LEAST_AGREEING), "band long, i int, j int, key binary, at int, partners array<int>"))
+        return materialize(with_text(found).groupBy("band", "i", "j").applyInArrow(_joined(idf, threshold), "a binary, b binary, similarity double"))
 
     keyed = _keyed(texts, BAND_OF)
     star = lambda k: k.where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
@@ -266,14 +340,10 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     label = lambda k: materialize(k.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
     mixed = lambda k: k.join(materialize(k.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("band")), "band")
     apart = materialize(mixed(label(keyed)))
-    large = materialize(apart.where(F.col("n") > SMALL).select("key").distinct())
-    more = _crossing(apart)
+    more = verified(_crossing(apart))
+    large = apart.where(F.col("n") > SMALL)
     if large.limit(1).count():
-        longer = materialize(mixed(label(_keyed(texts.join(large, "key", "left_semi"), LONG_BAND_OF))))
-        lead = longer.where(F.col("a") == F.col("key")).select("band", F.col("label").alias("lead"))
-        again = longer.join(lead, "band").where(F.col("label") != F.col("lead"))
-        more = more.unionByName(_crossing(longer)).unionByName(star(again))
-    more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = more.unionByName(rest(large))
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)

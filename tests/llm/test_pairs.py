@@ -110,6 +110,32 @@ def test_near_duplicates_equal_brute_force(spark):
     assert one.columns == d.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(set(want))
 
 
+def test_near_copies_inside_a_large_family_below_the_threshold(spark, monkeypatch):
+    """300 texts of one template at 0.75 to 0.79, 40 of them with a copy at 0.80 to 0.90: the key's leader is like none."""
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    random = np.random.default_rng(21)
+    new = lambda n: [f"u{x}" for x in random.integers(0, 10**12, n)]
+    template = [f"t{i}" for i in range(300)]
+    own = [new(9) for _ in range(260)]
+    own += [own[i][: 4 + i % 3] + new(5 - i % 3) for i in range(40)]
+    texts = [" ".join(template + x) for x in own]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = neardup.word_idf(d)
+    k, w, b = neardup.shingles(pa.array(texts), idf)
+    bags = [dict(zip(k[b[i] : b[i + 1]].tolist(), w[b[i] : b[i + 1]].tolist())) for i in range(len(texts))]
+
+    def alike(i, j):
+        common = sum(min(v, bags[j].get(s, 0)) for s, v in bags[i].items())
+        return common / (sum(bags[i].values()) + sum(bags[j].values()) - common)
+
+    assert all(0.75 < alike(i, j) < 0.79 for i, j in ((41, 50), (50, 259), (0, 100), (1, 262)))
+    assert all(0.8 < alike(i, 260 + i) < 0.9 for i in range(40))
+    want = groups_by_hand(texts, idf)
+    assert len(set(want)) == 260
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(d).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b c d e f g"), (None, "a b c d e f g"), (3, "q w e r t y u i o p"), (3, "q w e r t y u i o p"), (4, "long " * 30_000), (5, "long " * 30_000)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
