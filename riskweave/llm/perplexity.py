@@ -3,10 +3,9 @@
 Five-grams of all trusted text are counted in shards.  Lower orders, contexts and
 probabilities are joins and sums of that one count table: a gram is five symbols
 of 12 bits in one number, so its context and its suffix are shifts and masks.
-The finished table goes to the scoring tasks as a broadcast of proven size: a
-gram is kept if it makes up at least LEAST_SHARE of the trusted symbols, so no
-order can have more than 1 / LEAST_SHARE of them, at any size of corpus; the
-others back off.  A document passes if its bits a symbol lie between fences that
+The whole table of probabilities and back-off weights stays in shards.  Texts are
+scored in chunks: a chunk's distinct grams are joined with the table, and come
+back to the chunk with their log-probabilities.  A document passes if its bits a symbol lie between fences that
 its language's trusted, held-out documents set by their quantiles.
 """
 
@@ -18,18 +17,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskweave.llm.storage import materialize
-from riskweave.llm.words import slices
+from riskweave.llm.words import reduce_at, slices
 
 ORDER, BITS = 5, 12
 BEGIN, END = 1, 2
-LEAST_SHARE = 1e-6
 #: Trusted ids are broadcast up to this number, joined by a shuffle beyond it.
 MOST_IDS = 2_000_000
+#: Scores of distinct texts are broadcast up to this number, joined by a shuffle beyond it.
+MOST_SCORES = 500_000
+#: Bytes of text that are scored in one task.
+CHUNK_BYTES = 16 << 20
 #: One trusted document in so many sets the fences and doesn't teach.
 HELD_OUT = 10
 #: A language with fewer held-out documents takes the fences of all.
@@ -95,40 +96,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """For each order, sorted grams with their log2 probabilities, and contexts with the log2 weights of what they leave to lower orders."""
+    """For each order, grams with their log2 probabilities (gram, log), and contexts with the log2 weights of what they leave to lower orders (context, rest); whole tables in shards."""
 
-    grams: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    rests: list[np.ndarray]
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
     unknown: float
 
-    def log2(self, wide: np.ndarray) -> np.ndarray:
-        """log2 probability of the last symbol of each five-gram after the others."""
-        out = np.full(len(wide), self.unknown)
+    def looked_up(self, wanted: DataFrame) -> DataFrame:
+        """(gram, log) for each distinct five-gram of ``wanted`` (gram): log2 probability of its last symbol after the others."""
+        own = {ORDER: materialize(wanted.select("gram").distinct())}
+        for k in range(ORDER - 1, 0, -1):
+            own[k] = materialize(own[k + 1].select(F.col("gram").bitwiseAND((1 << (BITS * k)) - 1).alias("gram")).distinct())
+        lower = None
         for k in range(1, ORDER + 1):
-            own = wide & ((1 << (BITS * k)) - 1)
-            found, at = _look(self.grams[k - 1], own)
+            rests = self.contexts[k - 1]
+            if k <= 2:
+                rests = F.broadcast(rests)  # none or one symbol: at most 4,096 rows
+            rows = own[k].join(self.grams[k - 1], "gram", "left").withColumn("context", F.shiftright("gram", BITS)).join(rests, "context", "left")
+            below = F.lit(self.unknown)
+            if lower is not None:
+                rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("log").alias("below")), "suffix")
+                below = F.col("below")
             # Order 1 always stands on the uniform distribution.
-            seen, where = _look(self.contexts[k - 1], own >> BITS)
-            out = np.where(found, self.logs[k - 1][at] if len(self.logs[k - 1]) else 0, out + np.where(seen, self.rests[k - 1][where] if len(self.rests[k - 1]) else 0, 0.0))
-        return out
+            lower = materialize(rows.select("gram", F.coalesce("log", F.coalesce("rest", F.lit(0.0)) + below).alias("log")))
+        return lower
 
-    def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each whole text and its symbols, the end counted."""
-        wide, bounds = grams(texts)
-        if not len(wide):
-            return np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    def log2(self, wide: np.ndarray) -> np.ndarray:
+        """As ``looked_up``, for a few grams in the driver."""
         keys, inverse = np.unique(wide, return_inverse=True)
-        each = -self.log2(keys)[inverse]
-        return np.add.reduceat(each, bounds[:-1]), np.diff(bounds)
-
+        if not len(keys):
+            return np.zeros(0)
+        found = self.looked_up(self.grams[0].sparkSession.createDataFrame([(int(x),) for x in keys], "gram long")).toArrow().sort_by("gram")
+        return found["log"].to_numpy()[inverse]
 
-def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
+    def bits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each of a few texts in the driver, and its symbols, the end counted."""
+        wide, bounds = grams(texts)
+        return reduce_at(np.add, -self.log2(wide), bounds, 0.0), np.diff(bounds)
 
 
 def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
@@ -140,7 +144,7 @@ def _discounts(n: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-def train(texts: DataFrame, *, text_col: str = "text", least_share: float = LEAST_SHARE) -> Model | None:
+def train(texts: DataFrame, *, text_col: str = "text") -> Model | None:
     """The model of all ``texts``; None where there is no text."""
     one = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("text != ''")
     full = materialize(one.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
@@ -154,41 +158,58 @@ def train(texts: DataFrame, *, text_col: str = "text", least_share: float = LEAS
     if not total:
         return None
     distinct = sum(r["grams"] for (k, _), r in seen.items() if k == 1) + 1
-    least = max(1.0, least_share * total)
-    lower, kept = None, []
+    lower, logs, rests = None, [], []
     for k in range(1, ORDER + 1):
         counts = tables[k]
         d = _discounts({c: r["grams"] for (own, c), r in seen.items() if own == k and c <= 4})
         discount = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        contexts = counts.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("all"), (F.sum(discount) / F.sum("c")).alias("rest"), F.sum("n").alias("n"))
-        known = counts.withColumn("context", F.shiftright("gram", BITS)).join(contexts.select("context", "all", "rest"), "context")
+        contexts = materialize(counts.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("all"), (F.sum(discount) / F.sum("c")).alias("rest")))
+        known = counts.withColumn("context", F.shiftright("gram", BITS)).join(contexts, "context")
         below = F.lit(1.0 / distinct)
         if lower is not None:
             known = known.withColumn("suffix", F.col("gram").bitwiseAND((1 << (BITS * (k - 1))) - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
             below = F.col("below")
-        lower = materialize(known.select("gram", "n", ((F.col("c") - discount) / F.col("all") + F.col("rest") * below).alias("p")))
-        kept.append(lower.where(F.col("n") >= least).select(F.lit(k).alias("k"), F.lit(True).alias("is_gram"), F.col("gram").alias("key"), F.log2("p").alias("log")))
-        kept.append(contexts.where(F.col("n") >= least).select(F.lit(k).alias("k"), F.lit(False).alias("is_gram"), F.col("context").alias("key"), F.log2("rest").alias("log")))
-    # At most 2 * ORDER / least_share rows.
-    table = reduce(DataFrame.unionByName, kept).toArrow().sort_by([("k", "ascending"), ("is_gram", "ascending"), ("key", "ascending")])
-    order, is_gram, keys, logs = (table[c].to_numpy() for c in ("k", "is_gram", "key", "log"))
-    part = lambda values, gram: [values[(order == k) & (is_gram == gram)] for k in range(1, ORDER + 1)]
-    return Model(part(keys, True), part(logs, True), part(keys, False), part(logs, False), -float(np.log2(distinct)))
+        lower = materialize(known.select("gram", ((F.col("c") - discount) / F.col("all") + F.col("rest") * below).alias("p")))
+        logs.append(lower.select("gram", F.log2("p").alias("log")))
+        rests.append(contexts.select("context", F.log2("rest").alias("rest")))
+    return Model(logs, rests, -float(np.log2(distinct)))
+
+
+def _wanted(table: pa.Table) -> pa.Table:
+    """The distinct grams of a chunk."""
+    keys = np.zeros(0, np.int64)
+    for _, texts in slices(table["text"], SLICE_BYTES):
+        keys = np.union1d(keys, grams(texts)[0])
+    return pa.table({"chunk": pa.array(np.full(len(keys), table["chunk"][0].as_py(), np.int64)), "gram": pa.array(keys)})
+
+
+def _summed(table: pa.Table, known: pa.Table) -> pa.Table:
+    """Bits and symbols of a chunk's texts, from the logs of its grams."""
+    keys, logs = known["gram"].to_numpy(), known["log"].to_numpy()
+    order = np.argsort(keys)
+    keys, logs = keys[order], logs[order]
+    bits, sizes = [], []
+    for _, texts in slices(table["text"], SLICE_BYTES):
+        wide, bounds = grams(texts)
+        own, inverse = np.unique(wide, return_inverse=True)
+        bits.append(reduce_at(np.add, -logs[np.searchsorted(keys, own)][inverse], bounds, 0.0))
+        sizes.append(np.diff(bounds))
+    return pa.table({"key": table["key"], "bits": pa.array(np.concatenate(bits)), "symbols": pa.array(np.concatenate(sizes).astype(np.int64))})
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with bits (of the whole text) and symbols; documents don't move."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * ORDER / LEAST_SHARE pairs of numbers
-    schema = T.StructType([*docs.schema.fields, T.StructField("bits", T.DoubleType()), T.StructField("symbols", T.LongType())])
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")
-            done = [shared.value.bits(part) for _, part in slices(texts, SLICE_BYTES)]
-            made = [np.concatenate([d[i] for d in done]) if done else np.zeros(0, kind) for i, kind in enumerate((np.float64, np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], names=[*batch.schema.names, "bits", "symbols"])
 
-    return docs.mapInArrow(run, schema)
+def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """key (``text_key``), bits (of the whole text) and symbols of each distinct text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = materialize(docs.select(text_key(F.col(text_col)).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(size // CHUNK_BYTES + 1)))
+    wanted = materialize(texts.groupBy("chunk").applyInArrow(_wanted, "chunk long, gram long"))
+    known = wanted.join(model.looked_up(wanted), "gram").select("chunk", "gram", "log")
+    return materialize(texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, "key binary, bits double, symbols long"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", keep_rows: bool = False) -> DataFrame:
@@ -219,8 +240,11 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         none = F.lit(None).cast("double")
         return base.select(*(["row"] if keep_rows else []), "doc_id", "lang", F.lit(0).cast("long").alias("symbols"), none.alias("perplexity"), none.alias("low"), none.alias("high"), (~blank).alias("kept"))
 
+    scores = score(base, model)
+    scores = F.broadcast(scores) if scores.limit(MOST_SCORES + 1).count() <= MOST_SCORES else scores
+
     def measured(rows: DataFrame) -> DataFrame:
-        return score(rows, model).withColumn("rate", F.when(~blank, F.col("bits") / F.col("symbols")))
+        return rows.withColumn("key", text_key(F.col("text"))).join(scores, "key").withColumn("rate", F.when(~blank, F.col("bits") / F.col("symbols")))
 
     quantiles = lambda: F.percentile_approx("rate", [LOW, 0.5, HIGH], 2000).alias("q")
     calibration = materialize(measured(base.select("doc_id", "lang", "text").where(held).join(marked, "doc_id", "left_semi")).where("rate IS NOT NULL").select("lang", "rate", "symbols"))

@@ -1,5 +1,6 @@
 """Toxicity, perplexity, packing, extraction: held-out accuracy, exact probabilities, round trips."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -113,6 +114,20 @@ def test_perplexity_equals_plain_counting(spark):
         assert symbols[0] == len(wide) and bits[0] == pytest.approx(-sum(np.log2(p(g)) for g in wide.tolist()))
 
 
+def test_perplexity_of_a_large_corpus_equals_plain_counting(spark, monkeypatch):
+    """Over a million symbols: grams seen once are still known; texts are scored in several chunks."""
+    monkeypatch.setattr(perplexity, "CHUNK_BYTES", 400_000)
+    texts = ["the cat sat on the mat " * 60_000, "zebu quay", "a rat ran"]
+    d = docs(spark, [(i, t, "en") for i, t in enumerate(texts)] + [(5, "zebu quay", None), (6, None, "en")])
+    p = kneser_ney(texts)
+    got = {bytes(r["key"]): r for r in perplexity.score(d, perplexity.train(d.where("doc_id < 3"))).collect()}
+    assert len(got) == 4
+    for text in [*texts, ""]:
+        wide, n = np.unique(perplexity.grams(pa.array([text]))[0], return_counts=True)
+        r = got[hashlib.md5(text.encode()).digest()]
+        assert r["symbols"] == n.sum() and r["bits"] == pytest.approx(-sum(c * np.log2(p(g)) for g, c in zip(wide.tolist(), n.tolist())))
+
+
 def test_probabilities_sum_to_one(spark):
     model = perplexity.train(docs(spark, [(0, "abba cab", "en"), (1, "bac abc", "en")]))
     alphabet = [*{*perplexity.symbols(pa.array(["abba cab bac abc"]))[0].tolist()} - {perplexity.BEGIN}]
