@@ -2,8 +2,9 @@
 
 Lines that begin with ``>`` quote: their level is the number of marks.  Each run
 of lines of one level is a passage; its words, lower-cased and stripped of marks,
-are hashed.  The passages that messages write themselves are hashed alike, and a
-quote is joined to the message of the conversation that wrote the same passage.
+are hashed.  Of the passages that messages write themselves every run of whole
+lines or sentences is hashed that has as many words as a quote of the conversation,
+and a quote is joined to the message of the conversation that wrote the same.
 That gives every message the one it replies to, and conversations are sorted by
 thread, depth and turn.  Everything is built-in column functions.
 """
@@ -37,19 +38,34 @@ def passages_of(lines: Column) -> Column:
     start = F.struct(none.alias("done"), F.lit(-1).alias("level"), F.lit("").alias("text"))
     closed = lambda a: F.when(F.trim(a["text"]) != "", F.concat(a["done"], F.array(F.struct(a["level"].alias("level"), a["text"].alias("text"))))).otherwise(a["done"])
     step = lambda a, x: (
-        F.when((x["level"] == a["level"]) & (F.trim(x["text"]) != ""), F.struct(a["done"].alias("done"), a["level"].alias("level"), F.concat(a["text"], F.lit(" "), x["text"]).alias("text")))
+        F.when((x["level"] == a["level"]) & (F.trim(x["text"]) != ""), F.struct(a["done"].alias("done"), a["level"].alias("level"), F.concat(a["text"], F.lit("\n"), x["text"]).alias("text")))
         .otherwise(F.struct(closed(a).alias("done"), F.when(F.trim(x["text"]) == "", F.lit(-1)).otherwise(x["level"]).alias("level"), x["text"].alias("text")))
     )
     return F.aggregate(lines, start, step, closed)
 
 
+def _words(text: Column) -> Column:
+    return F.size(F.split(text, " ")).cast("int")
+
+
+def _runs(text: Column, lengths: Column) -> Column:
+    """Hashes of the passage and of its runs of whole lines or sentences that have as many words as one of ``lengths``."""
+    pieces = F.filter(F.split(text, r"\n|(?<=[.!?…])\s+"), lambda x: ~x.rlike(ATTRIBUTION))
+    units = F.filter(F.transform(pieces, _normal), lambda x: x != "")
+    words = F.split(F.array_join(units, " "), " ")
+    bounds = F.aggregate(units, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + _words(x))))
+    fitting = lambda s: F.filter(lengths, lambda n: F.array_contains(bounds, s + n))
+    runs = F.flatten(F.transform(bounds, lambda s: F.transform(fitting(s), lambda n: F.xxhash64(F.array_join(F.slice(words, s + 1, n), " ")))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(_normal(text))), runs))
+
+
 def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Conversations in reply order without their quotes.
 
     Returns one row for each message: conv_id, turn, role, body (the text
     without quotes and their attribution lines, trimmed), quotes (quoted
-    passages), linked (those found), reply_to (turn of the message whose passage
-    it quotes at the lowest level; the latest earlier turn that wrote it),
+    passages), linked (those found), reply_to (turn of the message whose passage,
+    or whole lines or sentences of one, it quotes at the lowest level; the latest earlier turn that wrote it),
     root_turn and depth (of its reply chain; a message that quotes none is a
     root), sorted by conv_id, root_turn, depth and turn.
 
@@ -70,13 +86,16 @@ def link_quotes(messages: DataFrame, *, conversation: str = "conv_id", turn: str
     body = F.when(quoting, F.array_join(F.transform(own, lambda x: x["text"]), "\n")).otherwise(F.col("text"))
     body = F.regexp_replace(body, r"^\s+|\s+$", "")
 
-    quoted = rows.where(quoting).select("conv_id", "turn", F.explode(passages_of(lines)).alias("p")).where("p.level > 0").select("conv_id", "turn", "p.level", F.xxhash64(_normal(F.col("p.text"))).alias("passage"))
-    # A message is quoted passage by passage; only conversations with a quote need theirs hashed.
+    quoted = rows.where(quoting).select("conv_id", "turn", F.explode(passages_of(lines)).alias("p")).where("p.level > 0").select("conv_id", "turn", "p.level", _normal(F.col("p.text")).alias("_normal"))
+    lengths = quoted.groupBy("conv_id").agg(F.collect_set(_words(F.col("_normal"))).alias("lengths"))  # one number for each length of a quote
+    quoted = quoted.select("conv_id", "turn", "level", F.xxhash64("_normal").alias("passage"))
+    # A message is quoted passage by passage, whole or in part; only conversations with a quote need theirs hashed.
     wanted = quoted.select("conv_id", "passage").distinct()
     written = (
         rows.select("conv_id", "turn", F.explode(passages_of(lines)).alias("p"))
-        .where((F.col("p.level") == 0) & ~F.col("p.text").rlike(ATTRIBUTION))
-        .select("conv_id", "turn", F.xxhash64(_normal(F.col("p.text"))).alias("passage"))
+        .where((F.col("p.level") == 0) & ~F.translate(F.col("p.text"), "\n", " ").rlike(ATTRIBUTION))
+        .join(lengths, "conv_id")
+        .select("conv_id", "turn", F.explode(_runs(F.col("p.text"), F.col("lengths"))).alias("passage"))
         .join(wanted, ["conv_id", "passage"], "left_semi")
         .groupBy("conv_id", "passage", "turn")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -171,3 +171,14 @@ def test_quotes(spark):
     assert got[1, 4]["reply_to"] is None and got[1, 4]["quotes"] == 1 and got[2, 0]["body"] == "" and got[3, 5]["reply_to"] is None
     assert [(got[9, i]["root_turn"], got[9, i]["depth"], got[9, i]["body"]) for i in range(40)] == [(0, i, f"m{i}") for i in range(40)]
     assert quotes.link_quotes(m.limit(0)).count() == 0
+
+
+def test_quotes_of_lines_and_sentences(spark):
+    rows = [
+        (1, 0, "First line\nsecond line here\nThird one. Fourth sentence! And the end"), (1, 1, "> second line here\nyes"), (1, 2, "> And the end\nok"), (1, 3, "> First line\n> second line here\nboth"),
+        (1, 4, "> line here\nhalf a line"), (1, 5, "> Third one. Fourth\n> sentence!\nwrapped anew"), (1, 6, "> second line here\n> First line\nother order"), (1, 7, "First line\nsomething else"), (1, 8, "> first line\nagain"), (2, 0, "> First line\nelsewhere"),
+    ]
+    m = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["linked"], r["reply_to"]) for r in quotes.link_quotes(m).collect()}
+    linked = {k: v[1] for k, v in got.items() if v[0]}
+    assert linked == {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 5): 0, (1, 8): 7}
