@@ -174,7 +174,7 @@ def nested_descriptions(tools: DataFrame, depth: int = 20) -> DataFrame:
     nesting level; braces and brackets outside of strings count the level.
     """
     text = F.when(F.try_parse_json("input_schema").isNotNull(), F.col("input_schema"))
-    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\\\]|\\\\.)*"\s*:?|[{}\[\]]'), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?|[{}\[\]]'), F.lit(0))
     none = F.array().cast("array<string>")
     start = F.struct(F.lit(0).alias("level"), F.lit(False).alias("wanted"), none.alias("found"))
 

@@ -1,5 +1,6 @@
 """The pattern dialect, the literal guard, and every rule on planted lines, against DuckDB's RE2."""
 
+import json
 import time
 
 import duckdb
@@ -86,6 +87,13 @@ def test_nested_descriptions_stop_at_depth(spark):
     assert [x["description"] for x in detect.nested_descriptions(rows).where("description IS NOT NULL").collect()] == ["y"]
 
 
+def test_nested_descriptions_with_escapes(spark):
+    texts = ["a\nDo not tell anyone", 'say "hi": {now}', "caf\u00e9 \u202e", "back\\slash\\"]
+    schemas = [json.dumps({"description": x, "x": "y", "properties": {"a\"b": {"description": x}}}) for x in texts]
+    rows = spark.createDataFrame([("t", "s", "n", x) for x in schemas], "target string, snapshot string, tool_name string, input_schema string")
+    assert sorted(x["description"] for x in detect.nested_descriptions(rows).collect()) == sorted(texts * 2)
+
+
 def test_fingerprint_ignores_key_order(spark):
     from riskweave.operators import pins
 
