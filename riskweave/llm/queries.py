@@ -1,11 +1,12 @@
-"""The ten operators as queries over the given tables, and their SQL where SQL can say them."""
+"""The operators as queries over the given tables, and their SQL where SQL can say them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import extraction, fingerprints, hosts, mixing, neardup, neighbours, packing, perplexity, quotes, toxicity
+from riskweave.llm import audit, cutoffs, extraction, fingerprints, hosts, mixing, neardup, neighbours, packing, perplexity, quotes, toxicity, whitening
+from riskweave.llm.audit_sql import audit_sql, rules_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_fingerprints, op4_toxicity, op5_urls, op6_extract, op7_quotes, op8_near_duplicates, op9_quality, op10_pack)}
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoffs.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_fingerprints, op4_toxicity, op5_urls, op6_extract, op7_quotes, op8_near_duplicates, op9_quality, op10_pack, op11_whiten, op12_audit, op13_rules)}
 
 
 def _mix_sql() -> str:
@@ -131,4 +144,4 @@ v AS (SELECT u.page_id, u.host, u.path, {mean} + {hosts.BOUND_SD} * sqrt(alpha *
 SELECT page_id, host, path, rule, coalesce({said}, CASE WHEN bound < {hosts.LEAST_GOOD} THEN 'block' ELSE 'allow' END) AS verdict FROM v"""
 
 
-ORACLES: dict[str, str] = {"op2_mix": _mix_sql(), "op3_fingerprints": _fingerprint_sql(), "op5_urls": _hosts_sql()}
+ORACLES: dict[str, str] = {"op2_mix": _mix_sql(), "op3_fingerprints": _fingerprint_sql(), "op5_urls": _hosts_sql(), "op12_audit": audit_sql(), "op13_rules": rules_sql()}
