@@ -193,7 +193,8 @@ class Whitening:
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), len(values) // max(len(column), 1))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
             x = _matrix(batch.column(0))
-            small = max(int(x.max()), -int(x.min())) * len(x) < _EXACT
+            small = max(int(x.max(initial=0)), -int(x.min(initial=0))) * len(x) < _EXACT
             n, total = n + len(x), total + (x.sum(axis=0).astype(object) if small else x.astype(object).sum(axis=0))
     if n:
         yield pa.RecordBatch.from_pydict({"dim": pa.array(range(-1, len(total)), pa.int32()), "total": pa.array([str(int(v)) for v in [n, *total]])})
