@@ -1,5 +1,7 @@
 """Text expressions shared by the detectors."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: the characters trimmed as white space.
@@ -12,6 +14,11 @@ SCRIPT_CUT = 120
 CUT_MARK = "..."
 
 
+def bound(value: Column, expression: Callable[[Column], Column]) -> Column:
+    """``expression`` of ``value``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 

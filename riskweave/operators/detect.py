@@ -11,13 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions import paths
-from riskweave.functions.text import ARGUMENT_CUT, LINE_CUT, render, trim_space, truncate
+from riskweave.functions.labels import tier_label
+from riskweave.functions.text import ARGUMENT_CUT, LINE_CUT, bound, quoted as in_quotes, render, trim_space, truncate
 from riskweave.operators.matching import ORD, matched_text, match_rules
 from riskweave.rules import catalog as c
 from riskweave.rules import ruleset as r
 from riskweave.rules.dialect import to_java
 
+#: Names of the findings' columns; a report has also what to do about a finding and where it is described.
 FINDING = ["target", "detector", "rule", "severity", "confidence", "message", "file", "line", "tool", "cwe"]
+REPORT = [*FINDING, "fix", "refs"]
+# Texts of messages.
+EGRESS_MESSAGE = "Tool makes outbound network call via "
+INVISIBLE_MESSAGE = ("Found ", " invisible Unicode characters in tool description (possible steganographic payload)")
+NESTED_PREFIX = "[nested schema] "
 COMMENT = r"^(?://|/\*|\*|--)"
 
 
@@ -93,12 +100,21 @@ def is_secret(rules: Sequence[r.Rule]) -> Column:
 def placeholder_secret(line: Column, rules: Sequence[r.Rule]) -> Column:
     """A secret whose match, or whose line's first quoted value, is documentation."""
     _, value = key_value(line)
-    return is_secret(rules) & (is_placeholder(matched_text(line, rules)) | ((value != "") & is_placeholder(value)))
+    return is_secret(rules) & (bound(_matched_secret(line, rules), is_placeholder) | bound(value, lambda v: (v != "") & is_placeholder(v)))
+
+
+def _matched_secret(line: Column, rules: Sequence[r.Rule]) -> Column:
+    """What a secret's pattern matched; only those patterns are in the expression."""
+    out = _null()
+    for i, rule in enumerate(rules):
+        if rule.secret:
+            out = F.when(F.col(ORD) == i, F.regexp_extract(line, rule.java, 0)).otherwise(out)
+    return out
 
 
 def self_assigned_secret(line: Column, rules: Sequence[r.Rule]) -> Column:
     key, value = key_value(line)
-    return is_secret(rules) & (key != "") & (F.lower(key) == F.lower(value))
+    return is_secret(rules) & bound(key, lambda k: (k != "") & (F.lower(k) == F.lower(value)))
 
 
 def temp_severity(line: Column) -> Column:
@@ -127,21 +143,20 @@ def scan_secrets(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def detect_egress(lines: DataFrame) -> DataFrame:
     """Outbound calls: target, path, line_no, method; comments count."""
-    hits = match_rules(lines, "line", r.EGRESS, lang="lang")
-    return hits.select("target", "path", "line_no", F.when(F.contains("template", F.lit("%s")), render(F.col("template"), _capture())).otherwise(F.col("template")).alias("method"))
+    return match_rules(lines, "line", r.EGRESS, lang="lang").select("target", "path", "line_no", call_method().alias("method"))
 
 
-def _capture() -> Column:
-    """The first capture of the two egress patterns that have one."""
-    out = _null()
+def call_method(first: int = 0) -> Column:
+    """The method of an egress hit, ``first`` being the place of the first egress rule; two of the patterns capture it."""
+    capture = _null()
     for i, rule in enumerate(r.EGRESS):
         if "%s" in rule.message:
-            out = F.when(F.col(ORD) == i, F.regexp_extract("line", rule.java, 1)).otherwise(out)
-    return out
+            capture = F.when(F.col(ORD) == first + i, F.regexp_extract("line", rule.java, 1)).otherwise(capture)
+    return F.when(F.contains("template", F.lit("%s")), render(F.col("template"), capture)).otherwise(F.col("template"))
 
 
 def egress_findings(calls: DataFrame) -> DataFrame:
-    message = F.concat(F.lit("Outbound network call: "), "method")
+    message = F.concat(F.lit(EGRESS_MESSAGE), "method")
     return calls.select("target", F.lit("egress").alias("detector"), F.lit("mcp-network-egress").alias("rule"), F.lit(c.WARNING).alias("severity"), F.lit(c.UNSET).alias("confidence"), message.alias("message"), F.col("path").alias("file"), F.col("line_no").alias("line"), _null().alias("tool"), _null().alias("cwe"), F.col("method").alias("quoted"))
 
 
@@ -152,12 +167,8 @@ def scan_descriptions(tools: DataFrame, rules: Sequence[r.Rule] = r.DESCRIPTIONS
     return hits.select("target", F.lit("description").alias("detector"), "rule", "severity", "confidence", render(F.col("template"), truncate(quoted, LINE_CUT)).alias("message"), _null().alias("file"), _null("int").alias("line"), F.col("tool_name").alias("tool"), "cwe", quoted.alias("quoted"))
 
 
-def _class(ranges: Sequence[tuple[int, int]]) -> str:
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
-
-
 def invisible_count(text: Column, ranges: Sequence[tuple[int, int]] = tuple(c.INVISIBLE_RANGES)) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_class(ranges))), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(r.code_points(ranges))), F.lit(0))
 
 
 def scan_invisible(rows: DataFrame, text: str = "description") -> DataFrame:
@@ -167,29 +178,51 @@ def scan_invisible(rows: DataFrame, text: str = "description") -> DataFrame:
     return counted.select("*", F.explode(found).alias("rule"))
 
 
-def nested_descriptions(tools: DataFrame, depth: int = 20) -> DataFrame:
-    """Every ``description`` string in a tool's JSON schema, in objects and in objects inside arrays, down to ``depth``.
+_OBJECT = "map<string,variant>"
+
 
-    A string value of a member named description is cut out of the text with its
-    nesting level; braces and brackets outside of strings count the level.
+def schema_descriptions(schema: Column, depth: int = 20) -> Column:
+    """All ``description`` strings of a JSON schema, in its objects and in objects that arrays hold, down to ``depth`` objects below the root.
+
+    A walk of the VARIANT, a level at a time: an object's members that are
+    objects, and the objects among the items of those that are arrays, are the
+    next level.  Arrays are no level of their own; arrays in arrays aren't entered.
     """
-    text = F.when(F.try_parse_json("input_schema").isNotNull(), F.col("input_schema"))
-    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?|[{}\[\]]'), F.lit(0))
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).alias("level"), F.lit(False).alias("wanted"), none.alias("found"))
+    as_object = lambda v: F.try_variant_get(v, "$", _OBJECT)
+
+    def below(value: Column) -> Column:
+        items = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), as_object), lambda x: x.isNotNull())
+        return bound(as_object(value), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(F.coalesce(items, F.array().cast(f"array<{_OBJECT}>"))))
+
+    def step(walk: Column, _: Column) -> Column:
+        named = F.filter(F.transform(walk["open"], lambda x: F.try_element_at(x, F.lit("description"))), lambda v: F.schema_of_variant(v) == "STRING")
+        found = F.concat(walk["found"], F.transform(named, lambda v: F.try_variant_get(v, "$", "string")))
+        return F.struct(found.alias("found"), F.flatten(F.transform(walk["open"], lambda x: F.flatten(F.transform(F.map_values(x), below)))).alias("open"))
+
+    root = F.filter(F.array(as_object(F.try_parse_json(schema))), lambda x: x.isNotNull())
+    start = F.struct(F.array().cast("array<string>").alias("found"), root.alias("open"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, step, lambda walk: walk["found"])
+
+
+def nested_descriptions(tools: DataFrame, depth: int = 20) -> DataFrame:
+    """target, snapshot, tool_name, description: a row for each description in a tool's JSON schema."""
+    return tools.select("target", "snapshot", "tool_name", F.explode(schema_descriptions(F.col("input_schema"), depth)).alias("description"))
+
+
+def scan_description_texts(texts: DataFrame, rules: Sequence[r.Rule] = r.DESCRIPTIONS) -> DataFrame:
+    """Findings of the prompt-injection and the invisible-character rules in one pass over texts (target, tool_name, description, prefix of their messages); columns beside these stay."""
+    rest = [x for x in texts.columns if x not in ("target", "tool_name", "description", "prefix")]
+    every = (*rules, *r.INVISIBLE)
+    hits = match_rules(texts, "description", every)
+    counted = F.concat(F.lit(INVISIBLE_MESSAGE[0]), invisible_count(F.col("description")).cast("string"), F.lit(INVISIBLE_MESSAGE[1]))
+    quoted = matched_text(F.col("description"), rules)
+    message = F.when(F.col(ORD) == len(rules), counted).otherwise(render(F.col("template"), truncate(F.coalesce(quoted, F.lit("")), LINE_CUT)))
+    return hits.select(*rest, "target", F.lit("description").alias("detector"), "rule", "severity", "confidence", F.concat("prefix", message).alias("message"), _null().alias("file"), _null("int").alias("line"), F.col("tool_name").alias("tool"), "cwe")
 
-    def step(a: Column, x: Column) -> Column:
-        opens, closes, key = x.isin("{", "["), x.isin("}", "]"), x.endswith(":")
-        taken = a["wanted"] & ~key & ~opens & ~closes & (a["level"] <= depth + 1)
-        return F.struct(
-            F.when(opens, a["level"] + 1).when(closes, a["level"] - 1).otherwise(a["level"]).alias("level"),
-            (key & x.rlike(r'^"description"\s*:$')).alias("wanted"),
-            F.when(taken, F.concat(a["found"], F.array(x))).otherwise(a["found"]).alias("found"),
-        )
 
-    found = F.aggregate(F.coalesce(tokens, none), start, step, lambda a: a["found"])
-    value = F.try_variant_get(F.try_parse_json(F.col("raw")), "$", "string")
-    return tools.select("target", "snapshot", "tool_name", F.explode(found).alias("raw")).select("target", "snapshot", "tool_name", value.alias("description"))
+def scan_nested(tools: DataFrame, rules: Sequence[r.Rule] = r.DESCRIPTIONS) -> DataFrame:
+    """``scan_description_texts`` on nested descriptions; messages carry a prefix."""
+    return scan_description_texts(nested_descriptions(tools).withColumn("prefix", F.lit(NESTED_PREFIX)), rules)
 
 
 def string_arguments(calls: DataFrame) -> DataFrame:
@@ -223,4 +256,5 @@ def risk_tier(description: Column) -> Column:
 
 def exposure_findings(classified: DataFrame) -> DataFrame:
     """Tools of tier HIGH or CRITICAL, one severity below their tier."""
-    return classified.where("tier >= 2").select("target", F.lit("exposure").alias("detector"), F.lit("mcp-sensitive-exposure").alias("rule"), (F.col("tier") - 1).alias("severity"), F.lit(c.UNSET).alias("confidence"), F.col("tool_name").alias("tool"))
+    message = F.concat(F.lit("Tool "), in_quotes(F.col("tool_name")), F.lit(" exposes "), tier_label(F.col("tier")), F.lit("-risk capabilities"))
+    return classified.where("tier >= 2").select("target", F.lit("exposure").alias("detector"), F.lit("mcp-sensitive-exposure").alias("rule"), (F.col("tier") - 1).alias("severity"), F.lit(c.UNSET).alias("confidence"), message.alias("message"), F.col("tool_name").alias("tool"))

@@ -100,16 +100,27 @@ def target_status(targets: DataFrame, findings: DataFrame, failures: DataFrame,
     return rows.select("target", n.alias("findings"), status.alias("status"))
 
 
-def sweep_summary(targets: DataFrame, findings: DataFrame, failures: DataFrame) -> DataFrame:
-    """One row for a run over many targets."""
-    f = findings.join(failures.select("target"), "target", "left_anti")
-    per = f.groupBy("target").agg(F.count(F.lit(1)).alias("n"), *_by_severity())
-    rows = targets.select("target").join(failures.select("target", "reason"), "target", "left").join(per, "target", "left")
+def counts(findings: DataFrame) -> DataFrame:
+    """One row: findings, by severity, with_findings (targets) and by_cwe (a map), from one aggregation by grouping sets."""
+    sets = findings.select("target", "severity", F.coalesce("cwe", F.lit("")).alias("cwe")).groupingSets([[], ["severity"], ["cwe"], ["target"]], "target", "severity", "cwe")
+    rows = sets.agg(F.grouping("target").alias("all_targets"), F.grouping("severity").alias("all_severities"), F.grouping("cwe").alias("all_cwes"), F.count(F.lit(1)).alias("n"))
+    by = lambda name: F.col(f"all_{name}") == 0
+    whole = ~by("targets") & ~by("severities") & ~by("cwes")
+    cwe = F.collect_list(F.when(by("cwes") & (F.col("cwe") != ""), F.struct("cwe", "n")))  # the weakness classes of the rules
     return rows.agg(
-        F.count(F.lit(1)).alias("targets"), F.count_if(F.col("reason").isNull()).alias("scanned"), F.count("reason").alias("failed"), F.count_if(F.col("reason") == "timeout").alias("timeouts"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), *[F.coalesce(F.sum(s.lower()), F.lit(0)).alias(s.lower()) for s in SEVERITIES],
-        F.count_if(F.col("n") > 0).alias("with_findings"), F.count_if(F.col("reason").isNull() & F.col("n").isNull()).alias("clean"),
-    )
+        F.coalesce(F.max(F.when(whole, F.col("n"))), F.lit(0)).alias("findings"),
+        *[F.coalesce(F.max(F.when(by("severities") & (F.col("severity") == i), F.col("n"))), F.lit(0)).alias(s.lower()) for i, s in enumerate(SEVERITIES)],
+        F.count_if(by("targets")).alias("with_findings"), F.map_from_entries(F.array_sort(cwe)).alias("by_cwe"),
+    )
+
+
+def sweep_summary(targets: DataFrame, findings: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row for a run over many targets; findings of targets that failed, or that aren't listed, don't count."""
+    rows = targets.select("target").join(failures.select("target", "reason"), "target", "left")
+    status = rows.agg(F.count(F.lit(1)).alias("targets"), F.count_if(F.col("reason").isNull()).alias("scanned"), F.count("reason").alias("failed"), F.count_if(F.col("reason") == "timeout").alias("timeouts"))
+    found = counts(findings.join(rows.where("reason IS NULL"), "target", "left_semi"))
+    both = status.crossJoin(found)  # one row each
+    return both.withColumn("clean", F.col("scanned") - F.col("with_findings"))
 
 
 def label_findings(findings: DataFrame, verdicts: DataFrame) -> DataFrame:

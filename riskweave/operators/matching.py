@@ -19,32 +19,42 @@ ORD = "rule_ord"
 META = ["rule_id", "rule", "severity", "confidence", "cwe", "template"]
 
 
-def match_rules(df: DataFrame, text: str, rules: Sequence[Rule], lang: str | None = None) -> DataFrame:
-    """Input columns plus ``rule_ord`` and the rule's columns, one row per match.
+def rule_ords(text: str, rules: Sequence[Rule], lang: str | None = None, runs: Sequence[tuple[int, Column | None]] = ()) -> Column:
+    """The places (in ``rules``) of the rules that match a text, as an array.
 
-    With ``lang``, a rule applies to rows of its languages only.  A text that holds a
-    pattern several times still gives one row for it.
+    With ``lang``, a rule applies to rows of its languages only.  ``runs`` cuts the
+    list into runs of so many rules, each of which applies where its condition holds
+    (None: everywhere), so that several families share one pass.
     """
-    clash = sorted({ORD, *META} & set(df.columns))
-    if clash:
-        raise ValueError(f"rename the input's columns {clash}: hits add columns of these names")
-    if not rules:
-        return with_rule_columns(df.withColumn(ORD, F.lit(0)).where(F.lit(False)), rules)
     # The text and its folded form are bound once per row as a lambda variable; a
     # plain column would be recomputed for every needle once filters are pushed down.
     subject = F.struct(F.col(text).alias("text"), fold(F.col(text)).alias("folded"),
-                       (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
+                       (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"),
+                       *[F.coalesce(condition, F.lit(False)).alias(f"run{k}") for k, (_, condition) in enumerate(runs) if condition is not None])
+    run_of = [f"run{k}" if condition is not None else None for k, (n, condition) in enumerate(runs) for _ in range(n)] or [None] * len(rules)
 
     def matches(row):
         return F.array_compact(F.array(*[
-            F.when(_condition(r, row, bool(lang)), F.lit(i)) for i, r in enumerate(rules)]))
+            F.when(_condition(r, row, bool(lang), run), F.lit(i)) for i, (r, run) in enumerate(zip(rules, run_of, strict=True))]))
+
+    return F.flatten(F.transform(F.array(subject), matches))
+
 
-    ords = F.flatten(F.transform(F.array(subject), matches))
-    return with_rule_columns(df.select("*", F.explode(ords).alias(ORD)), rules)
+def match_rules(df: DataFrame, text: str, rules: Sequence[Rule], lang: str | None = None, runs: Sequence[tuple[int, Column | None]] = ()) -> DataFrame:
+    """Input columns plus ``rule_ord`` and the rule's columns, one row for each match (see ``rule_ords``).
+
+    A text that holds a pattern several times still gives one row for it.
+    """
+    clash = sorted({ORD, *META} & set(df.columns))
+    if clash:
+        raise ValueError(f"rename the input's columns {clash}: hits add columns of these names")
+    if not rules:
+        return with_rule_columns(df.withColumn(ORD, F.lit(0)).where(F.lit(False)), rules)
+    return with_rule_columns(df.select("*", F.explode(rule_ords(text, rules, lang, runs)).alias(ORD)), rules)
 
 
-def _condition(rule: Rule, row: Column, by_lang: bool) -> Column:
-    parts = []
+def _condition(rule: Rule, row: Column, by_lang: bool, run: str | None) -> Column:
+    parts = [row[run]] if run else []
     if by_lang and rule.langs:
         parts.append(row["lang"].isin(*rule.langs))
     wanted = guard(rule.needles, row["text"], row["folded"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweave.functions.text import bound
 from riskweave.rules import catalog as c
 from riskweave.rules.dialect import to_java
 
@@ -21,18 +22,31 @@ def join_host_port(host: Column, port: Column) -> Column:
 def parse_trace(lines: DataFrame) -> DataFrame:
     """Columns of ``lines`` but line, and type and destination of each connect or sendto line."""
     rest = [x for x in lines.columns if x != "line"]
-    part = lambda p, i: F.regexp_extract("line", to_java(p), i)
-    by_connect = part(CONNECT, 2) != ""
     rows = lines.where(F.contains("line", F.lit("htons(")) & (F.contains("line", F.lit("connect(")) | F.contains("line", F.lit("sendto("))))
-    rows = rows.select(*rest, by_connect.alias("connects"), F.when(by_connect, part(CONNECT, 2)).otherwise(part(SENDTO, 2)).alias("port"), F.when(by_connect, part(CONNECT, 3)).otherwise(part(SENDTO, 3)).alias("host")).where("port != ''")
-    kind = F.when(F.col("port").try_cast("int") == DNS_PORT, "dns").when(F.col("connects"), "tcp").otherwise("udp")
-    return rows.select(*rest, kind.alias("type"), join_host_port(F.col("host"), F.col("port")).alias("destination"))
+
+    def call(line: Column) -> Column:
+        """The text of the call up to the end of its address, each pattern run once."""
+        connect = F.regexp_extract(line, to_java(CONNECT), 0)
+        return bound(connect, lambda x: F.struct((x != "").alias("connects"), F.when(x != "", x).otherwise(F.regexp_extract(line, to_java(SENDTO), 0)).alias("text")))
+
+    # A generator keeps the parse from being pasted into each of its uses.
+    rows = rows.select(*rest, F.explode(F.array(bound(F.col("line"), call))).alias("call")).where("call.text != ''")
+    tail = lambda i: F.regexp_extract("call.text", to_java(r"htons\((\d+)\),[^\"]*\"([^\"]+)\"$"), i)
+    rows = rows.select(*rest, F.explode(F.array(F.struct(F.col("call.connects").alias("connects"), tail(1).alias("port"), tail(2).alias("host")))).alias("call"))
+    kind = F.when(F.col("call.port").try_cast("int") == DNS_PORT, "dns").when(F.col("call.connects"), "tcp").otherwise("udp")
+    return rows.select(*rest, kind.alias("type"), join_host_port(F.col("call.host"), F.col("call.port")).alias("destination"))
+
+
+def host_port(destination: Column) -> Column:
+    """``host:port`` or ``[v6]:port`` cut in two (host, port); the whole text and no port where it has no such form."""
+    plain, six = r"^([^:\[\]]*):([^:]*)\z", r"^\[([^\]]*)\]:([^:]*)\z"
+    parts = lambda d, p: F.struct(F.regexp_extract(d, p, 1).alias("host"), F.regexp_extract(d, p, 2).alias("port"))
+    return bound(destination, lambda d: F.when(d.rlike(plain), parts(d, plain)).when(d.rlike(six), parts(d, six)).otherwise(F.struct(d.alias("host"), F.lit(None).cast("string").alias("port"))))
 
 
 def host_of(destination: Column) -> Column:
     """The host of ``host:port`` or ``[v6]:port``; the whole text where it has no such form."""
-    plain, six = r"^([^:\[\]]*):[^:]*\z", r"^\[([^\]]*)\]:[^:]*\z"
-    return F.when(destination.rlike(plain), F.regexp_extract(destination, plain, 1)).when(destination.rlike(six), F.regexp_extract(destination, six, 1)).otherwise(destination)
+    return host_port(destination)["host"]
 
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -41,9 +55,12 @@ IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"
 
 def ip_to_long(host: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
-    p = F.split(host, r"\.")
-    n = lambda i: F.get(p, i).try_cast("long")
-    return F.when(host.rlike(IPV4), n(0) * (1 << 24) + n(1) * (1 << 16) + n(2) * (1 << 8) + n(3))
+
+    def number(p: Column) -> Column:
+        n = lambda i: F.get(p, i).try_cast("long")
+        return n(0) * (1 << 24) + n(1) * (1 << 16) + n(2) * (1 << 8) + n(3)
+
+    return bound(host, lambda h: F.when(h.rlike(IPV4), bound(F.split(h, r"\."), number)))
 
 
 def block(cidr: str) -> tuple[int, int]:
@@ -63,10 +80,11 @@ def in_private_block(ip: Column) -> Column:
 
 def classify(events: DataFrame) -> DataFrame:
     """A finding for each event (target, tool_name, type, destination)."""
-    host = host_of(F.col("destination"))
-    ip = ip_to_long(host)
-    is_address = ip.isNotNull() | F.contains(host, F.lit(":"))
-    dns, metadata, private = F.col("type") == "dns", host == c.METADATA_ADDRESS, in_private_block(ip)
+    place = lambda h, ip: F.struct(h.alias("host"), (ip.isNotNull() | F.contains(h, F.lit(":"))).alias("is_address"), in_private_block(ip).alias("private"))
+    at = bound(host_of(F.col("destination")), lambda h: bound(ip_to_long(h), lambda ip: place(h, ip)))
+    events = events.select("target", "tool_name", "type", "destination", F.explode(F.array(at)).alias("at"))
+    is_address, private = F.col("at.is_address"), F.col("at.private")
+    dns, metadata = F.col("type") == "dns", F.col("at.host") == c.METADATA_ADDRESS
     rule = F.when(dns, "net-probe-dns-query").when(~is_address, "net-probe-outbound-connection").when(metadata, "net-probe-metadata-service").when(private, "net-probe-private-ip").otherwise("net-probe-outbound-connection")
     d = F.col("destination")
     message = (
@@ -86,11 +104,6 @@ def socket_fields(lines: DataFrame) -> DataFrame:
     return rows.select(*rest, decode_address(F.col("raw")).alias("destination")).where("destination IS NOT NULL")
 
 
-def _bound(value: Column, expression) -> Column:
-    """``expression`` of ``value``, which is computed once."""
-    return F.get(F.transform(F.array(value), expression), 0)
-
-
 def decode_address(raw: Column) -> Column:
     """``ADDRESS:PORT`` in hexadecimal, words little-endian; null where it isn't such."""
 
@@ -101,10 +114,10 @@ def decode_address(raw: Column) -> Column:
         six = F.concat_ws(":", F.lit(""), *[pair(w, hi) for w in range(4) for hi in (7, 3)], F.lit(""))
         port = F.conv(F.substring_index(raw, ":", -1), 16, 10)
         return F.when(raw.rlike(r"^[0-9A-Fa-f]{8}:[0-9A-Fa-f]{1,4}\z"), F.concat(four, F.lit(":"), port)).when(
-            raw.rlike(r"^[0-9A-Fa-f]{32}:[0-9A-Fa-f]{1,4}\z"), F.concat(F.lit("["), _bound(six, _compressed), F.lit("]:"), port)
+            raw.rlike(r"^[0-9A-Fa-f]{32}:[0-9A-Fa-f]{1,4}\z"), F.concat(F.lit("["), bound(six, _compressed), F.lit("]:"), port)
         )
 
-    return _bound(raw, decoded)
+    return bound(raw, decoded)
 
 
 def _compressed(padded: Column) -> Column:

@@ -78,9 +78,13 @@ def read_package_manifests(spark, sf_dir):
     return manifests(spark, sf_dir).select("target", "path", "valid", n("m.dependencies").alias("dependencies"), n("m.scripts").alias("scripts"))
 
 
-@query(f"SELECT target, path AS file, unnest(['dep-audit-parse-error', 'mcp-install-hook-malformed-json']) AS rule, 1 AS severity FROM {MANIFESTS} AS m WHERE NOT {_VALID}")
+MALFORMED = f"""(SELECT target, x.rule, 1 AS severity, 0 AS confidence, CASE x.rule WHEN 'dep-audit-parse-error' THEN 'Failed to parse package.json: not an object of string maps' ELSE 'package.json could not be parsed (malformed JSON): ' || path END AS message, path AS file
+ FROM {MANIFESTS} AS m CROSS JOIN (VALUES ('dep-audit-parse-error'), ('mcp-install-hook-malformed-json')) AS x(rule) WHERE NOT {_VALID})"""
+
+
+@query(f"SELECT * FROM {MALFORMED} AS m")
 def malformed_manifests(spark, sf_dir):
-    return manifests(spark, sf_dir).where("NOT valid").select("target", F.col("path").alias("file"), F.explode(F.array(F.lit("dep-audit-parse-error"), F.lit("mcp-install-hook-malformed-json"))).alias("rule"), F.lit(1).alias("severity"))
+    return ops.malformed(manifests(spark, sf_dir))
 
 
 @query(f"SELECT * FROM {DEPS} AS d")
@@ -103,7 +107,7 @@ def normalize_names(spark, sf_dir):
 
 
 _BARE = lambda v: f"regexp_replace({v}, '^([^-]*)-[^0-9].*$', '\\1')"
-PARTS_SQL = lambda v: f"string_split(regexp_replace({_BARE(v)}, '[.]+$', ''), '.')"
+PARTS_SQL = lambda v: f"CASE WHEN regexp_replace({_BARE(v)}, '[.]+$', '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(regexp_replace({_BARE(v)}, '[.]+$', ''), '.') END"
 _NUMBER = lambda x: f"regexp_matches({x}, '^[+-]?[0-9]+$')"
 
 
@@ -117,17 +121,39 @@ def compare_sql(a: str, b: str) -> str:
 VULNS = "(VALUES " + ", ".join(f"({text_sql(n)}, {text_sql(m)}, {text_sql(v)}, {s}, {sev}, {text_sql(a)})" for n, m, v, s, sev, a in c.VULNERABLE_PACKAGES) + ") AS v(vuln, max_affected, cve, cvss, vuln_severity, about)"
 
 
-@query(f"SELECT target, name, version, max_affected, CAST({compare_sql(NORMAL, 'max_affected')} AS INTEGER) AS compared FROM {DEPS} AS d CROSS JOIN {VULNS}")
+@query(f"SELECT target, name, version, max_affected, CAST({compare_sql(NORMAL, 'max_affected')} AS INTEGER) AS compared FROM {DEPS} AS d JOIN {VULNS} ON name = vuln")
 def compare_versions(spark, sf_dir):
-    deps = ops.merged_dependencies(manifests(spark, sf_dir)).crossJoin(ops.vulnerabilities(spark))  # ten fixed rows
-    return deps.select("target", "name", "version", "max_affected", ops.compare_versions(ops.normalize_version(F.col("version")), F.col("max_affected")).alias("compared"))
+    known = ops.merged_dependencies(manifests(spark, sf_dir)).join(ops.vulnerabilities(spark), F.col("name") == F.col("vuln"))
+    return known.select("target", "name", "version", "max_affected", ops.compare_versions(ops.normalize_version(F.col("version")), F.col("max_affected")).alias("compared"))
+
+
+# Versions of three numbers, dated ones and ones with text, by the keys of parts.
+_SORTED = ["0.1.15", "0.1.16", "0.14", "0.14.0", "1.2.3-beta", "1.2.3", "10.0.0", "2.4.9.", "2025.12.17", "alpha", "1.beta", "1.0.0.0", "0"]
+_OWN_VERSION = f"CASE WHEN {_K} % 3 = 0 THEN {pick_sql(_SORTED, _K)} ELSE CAST({_K} % 13 AS VARCHAR) || '.' || CAST({_K} % 101 AS VARCHAR) || '.' || CAST({_K} % 7 AS VARCHAR) END"
+_LOW, _HIGH = "0.14", "2.4.9"
+
 
+@query(f"SELECT k, version FROM (SELECT {_K} AS k, {_OWN_VERSION} AS version FROM part) AS v WHERE {compare_sql('version', text_sql(_LOW))} >= 0 AND {compare_sql('version', text_sql(_HIGH))} < 0")
+def version_key(spark, sf_dir):
+    """The versions of a range: a filter on keys."""
+    k = F.col(_K)
+    own = F.when(k % 3 == 0, pick(_SORTED, k)).otherwise(F.concat_ws(".", (k % 13).cast("string"), (k % 101).cast("string"), (k % 7).cast("string")))
+    key = ops.version_key(F.col("version"))
+    return corpora.table(spark, sf_dir, "part").select(k.alias("k"), own.alias("version")).where((key >= ops.version_key(F.lit(_LOW))) & (key < ops.version_key(F.lit(_HIGH))))
 
-@query(f"""SELECT target, CASE WHEN n IN ('', '*', 'latest') THEN 'dep-audit-unknown-version' ELSE 'dep-audit-vulnerable' END AS rule, CASE WHEN n IN ('', '*', 'latest') THEN 1 ELSE vuln_severity END AS severity,
- CASE WHEN n IN ('', '*', 'latest') THEN name || ': version "' || version || '" is unpinned — cannot verify against ' || cve || ' (CVSS ' || printf('%.1f', cvss) || '): ' || about ELSE name || '@' || n || ' is vulnerable (' || cve || ', CVSS ' || printf('%.1f', cvss) || '): ' || about END AS message, path AS file, cve
-FROM (SELECT *, {NORMAL} AS n FROM {DEPS} AS d JOIN {VULNS} ON name = vuln) AS j WHERE n IN ('', '*', 'latest') OR {compare_sql('n', 'max_affected')} <= 0""")
+
+_UNPINNED = "n IN ('', '*', 'latest')"
+_SCORE = "cve || ' (CVSS ' || printf('%.1f', cvss) || '): ' || about"
+_BAD = "' is vulnerable (' || cve || ', CVSS ' || printf('%.1f', cvss) || '): ' || about"
+_FIX = lambda unknown, what: f"CASE WHEN {unknown} THEN 'Pin ' || {what} || ' > ' || max_affected || ' to avoid ' || cve ELSE 'Upgrade ' || name || ' above ' || max_affected || ' to fix ' || cve END"
+NPM = f"""(SELECT target, CASE WHEN {_UNPINNED} THEN 'dep-audit-unknown-version' ELSE 'dep-audit-vulnerable' END AS rule, CASE WHEN {_UNPINNED} THEN 1 ELSE vuln_severity END AS severity, 0 AS confidence, CASE WHEN NOT {_UNPINNED} THEN 'CWE-1395' END AS cwe,
+ {_FIX(_UNPINNED, "'to a version'")} AS fix, CASE WHEN NOT {_UNPINNED} THEN cve END AS refs, CASE WHEN {_UNPINNED} THEN name || ': version "' || version || '" is unpinned — cannot verify against ' || {_SCORE} ELSE name || '@' || n || {_BAD} END AS message, path AS file, cve
+FROM (SELECT *, {NORMAL} AS n FROM {DEPS} AS d JOIN {VULNS} ON name = vuln) AS j WHERE {_UNPINNED} OR {compare_sql('n', 'max_affected')} <= 0)"""
+
+
+@query(f"SELECT * FROM {NPM} AS n")
 def audit_npm_deps(spark, sf_dir):
-    return ops.audit_npm(ops.merged_dependencies(manifests(spark, sf_dir)))
+    return ops.audit_npm(ops.merged_dependencies(manifests(spark, sf_dir))).withColumn("refs", F.array_join("refs", ","))
 
 
 _LINES = lambda name: f"(SELECT target, path, CAST(unnest(range(1, len(string_split(content, chr(10))) + 1)) AS INTEGER) AS line_no, trim(unnest(string_split(content, chr(10)))) AS line FROM {FILES} AS f WHERE regexp_extract(path, '[^/]*$') = '{name}' AND {_OURS})"
@@ -170,24 +196,37 @@ def parse_requirements(spark, sf_dir):
 _PIP = f"(SELECT * FROM {REQUIREMENTS_SQL} AS r UNION ALL SELECT * FROM {PYPROJECT_SQL} AS p)"
 
 
-@query(f"SELECT target, CASE WHEN version = '' THEN 'dep-audit-unknown-version' ELSE 'dep-audit-vulnerable' END AS rule, CASE WHEN version = '' THEN 1 ELSE vuln_severity END AS severity, path AS file, line_no AS line, name, version, cve FROM {_PIP} AS p JOIN {VULNS} ON lower(name) = lower(vuln) WHERE version = '' OR {compare_sql('version', 'max_affected')} <= 0")
+_PLACE = "CASE WHEN path LIKE '%pyproject.toml' THEN ' in pyproject.toml' ELSE '' END"
+PIP = f"""(SELECT target, CASE WHEN version = '' THEN 'dep-audit-unknown-version' ELSE 'dep-audit-vulnerable' END AS rule, CASE WHEN version = '' THEN 1 ELSE vuln_severity END AS severity, 0 AS confidence, CASE WHEN version <> '' THEN 'CWE-1395' END AS cwe,
+ {_FIX("version = ''", "name || ' to a version'")} AS fix, CASE WHEN version <> '' THEN cve END AS refs, CASE WHEN version = '' THEN name || ': version unknown' || {_PLACE} || ' — manual check required against ' || {_SCORE} ELSE name || '==' || version || {_PLACE} || {_BAD} END AS message,
+ path AS file, line_no AS line, name, version, cve FROM {_PIP} AS p JOIN {VULNS} ON lower(name) = lower(vuln) WHERE version = '' OR {compare_sql('version', 'max_affected')} <= 0)"""
+
+
+@query(f"SELECT * FROM {PIP} AS p")
 def audit_pip_deps(spark, sf_dir):
     f = files(spark, sf_dir)
-    return ops.audit_pip(ops.requirement_lines(f).unionByName(ops.pyproject_lines(f)))
+    return ops.audit_pip(ops.requirement_lines(f).unionByName(ops.pyproject_lines(f))).withColumn("refs", F.array_join("refs", ","))
 
 
 _FIRST = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(script, {text_sql(p)}) THEN {text_sql(p)} END" for p in c.LIFECYCLE_PATTERNS) + ")"
 
 
-@query(f"SELECT target, path AS file, hook, script, {_FIRST} AS pattern FROM {SCRIPTS_SQL} AS s WHERE hook IN ('preinstall', 'install', 'postinstall') AND {_FIRST} IS NOT NULL")
+_QUOTED = f"'\"' || replace(replace({_FIRST}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"'"
+SUSPICIOUS = f"(SELECT target, 'dep-suspicious-install-script' AS rule, 2 AS severity, 0 AS confidence, 'package.json scripts.' || hook || ' contains suspicious pattern ' || {_QUOTED} || ': ' || {d.CUT('script', 120)} AS message, path AS file FROM {SCRIPTS_SQL} AS s WHERE hook IN ('preinstall', 'install', 'postinstall') AND {_FIRST} IS NOT NULL)"
+
+
+@query(f"SELECT * FROM {SUSPICIOUS} AS s")
 def scan_suspicious_scripts(spark, sf_dir):
-    return ops.suspicious_scripts(ops.scripts(manifests(spark, sf_dir)))
+    return ops.suspicious_findings(ops.scripts(manifests(spark, sf_dir)))
 
 
 _HOOKED = f"(SELECT * FROM {SCRIPTS_SQL} AS s WHERE hook IN ('preinstall', 'install', 'postinstall', 'prepare') AND trim(script) <> '')"
 
 
-@query(f"SELECT target, rule, severity, replace(template, '%s', {d.CUT('script', 120)}) AS message, path AS file, hook, cwe FROM {_HOOKED} AS s JOIN {d.rules_sql(r.HOOKS)} ON regexp_matches(script, pattern)")
+HOOK_FINDINGS = f"(SELECT target, rule, severity, replace(template, '%s', {d.CUT('script', 120)}) AS message, path AS file, hook, cwe FROM {_HOOKED} AS s JOIN {d.rules_sql(r.HOOKS)} ON regexp_matches(script, pattern))"
+
+
+@query(f"SELECT * FROM {HOOK_FINDINGS} AS h")
 def scan_hook_scripts(spark, sf_dir):
     return ops.hook_findings(ops.scripts(manifests(spark, sf_dir)))
 
@@ -198,7 +237,10 @@ _FOUND = "SELECT target, rule, severity, replace(template, '%s', " + d.CUT(_TRIM
 _REF = f"(SELECT f.target, f.path, f.content FROM {FILES} AS f JOIN (SELECT target, regexp_replace(regexp_extract(path, '^(.*/)?') || CASE WHEN contains(script, '..') THEN 'scripts/build.py' ELSE 'scripts/setup.js' END, '^/', '') AS path FROM {_HOOKED} AS h WHERE regexp_matches(script, {text_sql(c.SCRIPT_FILE_PATTERN)})) AS w ON f.target = w.target AND f.path = w.path)"
 
 
-@query(f"{_FOUND} {_SPLIT(_REF)} AS l JOIN {d.rules_sql(r.HOOKS)} ON regexp_matches(line, pattern)")
+REFERENCED = f"({_FOUND} {_SPLIT(_REF)} AS l JOIN {d.rules_sql(r.HOOKS)} ON regexp_matches(line, pattern))"
+
+
+@query(f"SELECT * FROM {REFERENCED} AS x")
 def scan_referenced_scripts(spark, sf_dir):
     f = files(spark, sf_dir)
     return ops.referenced_findings(ops.scripts(ops.manifests(f)), f)
@@ -207,6 +249,9 @@ def scan_referenced_scripts(spark, sf_dir):
 _SETUP = f"(SELECT * FROM {FILES} AS f WHERE regexp_extract(path, '[^/]*$') IN ('setup.py', 'pyproject.toml') AND {_OURS})"
 
 
-@query(f"{_FOUND} {_SPLIT(_SETUP)} AS l JOIN {d.rules_sql(r.PYTHON_HOOKS)} ON regexp_matches(line, pattern)")
+PYTHON_HOOKS = f"({_FOUND} {_SPLIT(_SETUP)} AS l JOIN {d.rules_sql(r.PYTHON_HOOKS)} ON regexp_matches(line, pattern))"
+
+
+@query(f"SELECT * FROM {PYTHON_HOOKS} AS x")
 def scan_python_hooks(spark, sf_dir):
     return ops.python_hooks(files(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweave import corpora
@@ -161,7 +163,7 @@ def detect_egress(spark, sf_dir):
     return detect.detect_egress(lines(spark, sf_dir))
 
 
-@query(f"SELECT target, 'egress' AS detector, 'mcp-network-egress' AS rule, 1 AS severity, 0 AS confidence, 'Outbound network call: ' || method AS message, path AS file, line_no AS line FROM {EGRESS} AS e")
+@query(f"SELECT target, 'egress' AS detector, 'mcp-network-egress' AS rule, 1 AS severity, 0 AS confidence, 'Tool makes outbound network call via ' || method AS message, path AS file, line_no AS line FROM {EGRESS} AS e")
 def egress_findings(spark, sf_dir):
     return detect.egress_findings(detect.detect_egress(lines(spark, sf_dir))).drop("tool", "cwe", "quoted")
 
@@ -176,8 +178,13 @@ def scan_descriptions(spark, sf_dir):
     return detect.scan_descriptions(corpora.tools(spark, sf_dir)).drop("file", "line", "quoted")
 
 
-_CLASS = lambda ranges: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
-_COUNT = lambda col, ranges: f"len(regexp_extract_all({col}, {text_sql(_CLASS(ranges))}))"
+_COUNT = lambda col, ranges: f"len(regexp_extract_all({col}, {text_sql(r.code_points(ranges))}))"
+
+
+def unseen_sql(texts: str) -> str:
+    """Findings of the invisible-character rules in rows (target, tool_name, description, prefix)."""
+    return f"""(SELECT target, 'description' AS detector, rule, 3 AS severity, CASE rule WHEN 'mcp-unicode-injection' THEN 2 ELSE 3 END AS confidence, prefix || CASE rule WHEN 'mcp-unicode-injection' THEN 'Found ' || CAST(n AS VARCHAR) || ' invisible Unicode characters in tool description (possible steganographic payload)'
+  ELSE {text_sql(r.INVISIBLE[1].message)} END AS message, tool_name AS tool, 'CWE-116' AS cwe FROM (SELECT *, {_COUNT('description', c.INVISIBLE_RANGES)} AS n, {_COUNT('description', [c.TAG_BLOCK])} AS tags FROM {texts} AS t) AS t JOIN (VALUES ('mcp-unicode-injection'), ('mcp-unicode-tags-block')) AS r(rule) ON n > 0 AND (rule = 'mcp-unicode-injection' OR tags > 0))"""
 
 
 @query(f"""SELECT target, snapshot, tool_name, invisible, rule FROM (SELECT *, CAST({_COUNT('description', c.INVISIBLE_RANGES)} AS INTEGER) AS invisible, {_COUNT('description', [c.TAG_BLOCK])} AS tags FROM ({TOOLS}) AS t) AS t
@@ -186,15 +193,31 @@ def scan_invisible_chars(spark, sf_dir):
     return detect.scan_invisible(corpora.tools(spark, sf_dir)).select("target", "snapshot", "tool_name", "invisible", "rule")
 
 
-_NESTED = [("{\"type\"", ["Do not tell anyone"]), ("{\"properties\"", ["<SYSTEM>x"]), ("{\"description\"", ["urgent", "plain"])]
-_NESTED_SQL = " UNION ALL ".join(f"SELECT target, snapshot, tool_name, {text_sql(d)} AS description FROM ({TOOLS}) AS t WHERE starts_with(input_schema, {text_sql(start)})" for start, ds in _NESTED for d in ds)
+def walked(schema, depth: int = 0) -> list[str]:
+    """What a plain walk of a schema finds: descriptions of objects, in members and in items of arrays, 20 objects below the root."""
+    if not isinstance(schema, dict) or depth > 20:
+        return []
+    items = [x for v in schema.values() for x in ([v] if isinstance(v, dict) else v if isinstance(v, list) else [])]
+    own = [schema["description"]] if isinstance(schema.get("description"), str) else []
+    return own + [d for x in items for d in walked(x, depth + 1)]
+
+
+def parsed(text: str | None):
+    try:
+        return json.loads(text or "")
+    except ValueError:
+        return None
 
 
-@query(f"SELECT target, snapshot, tool_name, rule, '[nested schema] ' || replace(template, '%s', regexp_extract(description, pattern, 0)) AS message FROM (SELECT t.*, r.* FROM ({_NESTED_SQL}) AS t JOIN {rules_sql(r.DESCRIPTIONS)} ON regexp_matches(t.description, r.pattern)) AS h")
+_SAID = "(VALUES " + ", ".join(f"({text_sql(s)}, {text_sql(d)})" for s in dict.fromkeys(corpora.SCHEMAS) if s for d in walked(parsed(s))) + ") AS w(schema, said)"
+NESTED_TEXTS = f"(SELECT target, snapshot, tool_name, said AS description, '[nested schema] ' AS prefix FROM ({TOOLS}) AS t JOIN {_SAID} ON input_schema = schema)"
+_IN_TEXTS = lambda texts: f"(SELECT target, 'description' AS detector, rule, severity, confidence, prefix || replace(template, '%s', {CUT('regexp_extract(description, pattern, 0)', 100)}) AS message, tool_name AS tool, cwe FROM {texts} AS t JOIN {rules_sql(r.DESCRIPTIONS)} ON regexp_matches(t.description, r.pattern))"
+NESTED = f"(SELECT * FROM {_IN_TEXTS(NESTED_TEXTS)} AS a UNION ALL SELECT * FROM {unseen_sql(NESTED_TEXTS)} AS b)"
+
+
+@query(f"SELECT * FROM {NESTED} AS n")
 def scan_nested_descriptions(spark, sf_dir):
-    hits = match_rules(detect.nested_descriptions(corpora.tools(spark, sf_dir)), "description", r.DESCRIPTIONS)
-    quoted = truncate(detect.matched_text(F.col("description"), r.DESCRIPTIONS), 100)
-    return hits.select("target", "snapshot", "tool_name", "rule", F.concat(F.lit("[nested schema] "), render(F.col("template"), quoted)).alias("message"))
+    return detect.scan_nested(corpora.tools(spark, sf_dir).drop("description")).drop("snapshot", "file", "line")
 
 
 ARGUMENTS = f"(SELECT target, 'argument' AS detector, rule, severity, confidence, replace(template, '%s', {CUT('value', 80)}) AS message, arg AS tool, cwe FROM (SELECT t.*, r.* FROM ({corpora.TOOL_CALLS_SQL}) AS t JOIN {rules_sql(r.ARGUMENTS)} ON regexp_matches(t.value, r.pattern)) AS h)"
@@ -230,7 +253,10 @@ def classify_tools(spark, sf_dir):
     return tiers(spark, sf_dir).withColumn("label", labels.tier_label(F.col("tier")))
 
 
-@query(f"SELECT target, 'exposure' AS detector, 'mcp-sensitive-exposure' AS rule, tier - 1 AS severity, 0 AS confidence, tool_name AS tool FROM {TIERS} AS t WHERE tier >= 2")
+EXPOSURES = f"(SELECT target, 'exposure' AS detector, 'mcp-sensitive-exposure' AS rule, tier - 1 AS severity, 0 AS confidence, 'Tool \"' || tool_name || '\" exposes ' || ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][tier + 1] || '-risk capabilities' AS message, tool_name AS tool FROM {TIERS} AS t WHERE tier >= 2)"
+
+
+@query(f"SELECT * FROM {EXPOSURES} AS e")
 def exposure_findings(spark, sf_dir):
     return detect.exposure_findings(tiers(spark, sf_dir))
 

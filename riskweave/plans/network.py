@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from riskweave import corpora
@@ -71,6 +73,11 @@ def ip_to_long(spark, sf_dir):
     return events(spark, sf_dir).select("target", "tool_name", "destination", h.alias("host"), ops.ip_to_long(h).alias("ip"))
 
 
+@query(f"SELECT target, tool_name, destination, host, regexp_extract(destination, ':([0-9]*)$', 1) AS port FROM {HOSTED} AS h")
+def host_port(spark, sf_dir):
+    return events(spark, sf_dir).select("target", "tool_name", "destination", F.explode(F.array(ops.host_port(F.col("destination")))).alias("p")).select("target", "tool_name", "destination", "p.host", "p.port")
+
+
 @query(f"SELECT target, tool_name, destination, {PRIVATE('ip')} AS private FROM {HOSTED} AS h")
 def connection_cidr_join(spark, sf_dir):
     return events(spark, sf_dir).select("target", "tool_name", "destination", ops.in_private_block(ops.ip_to_long(ops.host_of(F.col("destination")))).alias("private"))
@@ -119,11 +126,11 @@ def new_connections(spark, sf_dir):
 
 
 # Tools and pins.
-_CANON = "CASE WHEN json_valid(input_schema) THEN input_schema END"
-FINGER = f"(SELECT target, snapshot, tool_name, sha256(concat_ws(chr(31), 'n' || tool_name, 'd' || coalesce(description, ''), 's' || coalesce({_CANON}, ''))) AS h FROM ({corpora.TOOLS_SQL}) AS t)"
+_CANONS = "(VALUES " + ", ".join(f"({text_sql(s)}, {text_sql(json.dumps(d.parsed(s), sort_keys=True, separators=(',', ':'), ensure_ascii=False))})" for s in dict.fromkeys(corpora.SCHEMAS) if s and d.parsed(s) is not None) + ") AS c(schema, canon)"
+FINGER = f"""(SELECT target, snapshot, tool_name, sha256(CAST(to_json({{'name': tool_name, 'description': coalesce(description, ''), 'inputSchema': coalesce(canon, '')}}) AS VARCHAR)) AS h FROM ({corpora.TOOLS_SQL}) AS t LEFT JOIN {_CANONS} ON input_schema = schema)"""
 
 
-@query()
+@query(f"SELECT target, snapshot, tool_name, h AS sha256 FROM {FINGER} AS f")
 def tool_fingerprint(spark, sf_dir):
     return corpora.tools(spark, sf_dir).select("target", "snapshot", "tool_name", pins.fingerprint().alias("sha256"))
 
@@ -147,10 +154,12 @@ def pin_changed(spark, sf_dir):
     return pins.changed(diffs(spark, sf_dir))
 
 
-@query(f"SELECT target, tool_name, row_number() OVER (PARTITION BY target, tool_name ORDER BY h) AS n FROM {FINGER} AS f WHERE snapshot = 'old'")
+@query(f"SELECT target, tool_name, max(h) AS sha256 FROM {FINGER} AS f WHERE snapshot = 'new' GROUP BY target, tool_name")
 def write_pins(spark, sf_dir):
+    """A baseline in place of another one."""
     from riskweave.sources.sinks import scratch
 
     path = scratch(spark, "pins")
-    pins.write(corpora.tools(spark, sf_dir).where("snapshot = 'old'"), path)
-    return spark.read.parquet(path).select("target", "tool_name", F.lit(1).cast("long").alias("n"))
+    for snapshot in ("old", "new"):
+        pins.write(corpora.tools(spark, sf_dir).where(F.col("snapshot") == snapshot), path)
+    return pins.read(spark, path)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskweave import corpora
 from riskweave.functions import labels
+from riskweave.operators import detect, report
 from riskweave.operators import findings as ops
 from riskweave.operators.matching import ORD, match_rules
+from riskweave.plans import dependencies as deps
 from riskweave.plans import detection as d
+from riskweave.plans import network as net
 from riskweave.rules import ruleset as r
 
 QUERIES, ORACLES = {}, {}
@@ -27,14 +30,12 @@ def query(sql: str | None = None):
 COLUMNS = ["target", "detector", "rule", "severity", "confidence", "message", "file", "line", "tool", "cwe"]
 _SOURCE = f"SELECT * FROM {d.SOURCE} AS s"
 _RESPONSE = f"SELECT target, detector, rule, severity, confidence, message, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line, tool, cwe FROM {d.RESPONSES} AS r"
-_EGRESS = f"SELECT target, 'egress', 'mcp-network-egress', 1, 0, 'Outbound network call: ' || method, path, line_no, NULL, NULL FROM {d.EGRESS} AS e"
+_EGRESS = f"SELECT target, 'egress', 'mcp-network-egress', 1, 0, 'Tool makes outbound network call via ' || method, path, line_no, NULL, NULL FROM {d.EGRESS} AS e"
 FINDINGS = f"({_SOURCE} UNION ALL {_RESPONSE} UNION ALL {_EGRESS})"
 
 
 def findings(spark, sf_dir) -> DataFrame:
     """Source, response and egress findings."""
-    from riskweave.operators import detect
-
     lines = d.lines(spark, sf_dir)
     return ops.union_findings(detect.scan_source(lines).drop("quoted"), d.response_findings(spark, sf_dir), detect.egress_findings(detect.detect_egress(lines)).drop("quoted")).select(*COLUMNS)
 
@@ -54,9 +55,48 @@ def failures(spark, sf_dir) -> DataFrame:
     return t.where(F.endswith("target", F.lit("5")) | F.endswith("target", F.lit("9"))).withColumn("reason", F.when(F.endswith("target", F.lit("5")), "timeout").otherwise("error"))
 
 
-@query(f"SELECT * FROM {FINDINGS} AS f")
+def _report_sql(source: str, **given: str) -> str:
+    """Rows of ``source`` with the columns of a report: those named in ``has``, given ones as they are given, null for the rest."""
+    kinds = {"severity": "INTEGER", "confidence": "INTEGER", "line": "INTEGER"}
+    default = {"confidence": "0"}
+    return "SELECT " + ", ".join(f"CAST({given.get(x, default.get(x, 'NULL'))} AS {kinds.get(x, 'VARCHAR')}) AS {x}" for x in report.REPORT) + f" FROM {source} AS s"
+
+
+_OWN = lambda *names: {x: x for x in names}
+_FIXES = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {d.text_sql(text)}" for rule, text in report.CONNECTION_FIXES.items()) + " END"
+_TEXTS = f"(SELECT target, snapshot, tool_name, description, '' AS prefix FROM ({d.TOOLS}) AS t)"
+_BASE = ("target", "rule", "severity", "message")
+REPORT_PARTS = {
+    "source": _report_sql(d.SOURCE, **_OWN("detector", "confidence", "file", "line", "cwe", *_BASE)),
+    "egress": _report_sql(f"(SELECT * FROM ({_EGRESS}) AS e(target, detector, rule, severity, confidence, message, file, line, tool, cwe))", **_OWN("detector", "file", "line", *_BASE)),
+    "dependency": " UNION ALL ".join([
+        _report_sql(deps.NPM, detector="'dependency'", **_OWN("file", "cwe", "fix", "refs", *_BASE)), _report_sql(deps.PIP, detector="'dependency'", **_OWN("file", "line", "cwe", "fix", "refs", *_BASE)), _report_sql(deps.SUSPICIOUS, detector="'dependency'", **_OWN("file", *_BASE)),
+        _report_sql(f"(SELECT * FROM {deps.MALFORMED} AS m WHERE rule = 'dep-audit-parse-error')", detector="'dependency'", **_OWN("file", *_BASE)),
+    ]),
+    "hook": " UNION ALL ".join([
+        _report_sql(deps.HOOK_FINDINGS, detector="'hook'", **_OWN("file", "cwe", *_BASE)), _report_sql(deps.REFERENCED, detector="'hook'", **_OWN("file", "line", "cwe", *_BASE)), _report_sql(deps.PYTHON_HOOKS, detector="'hook'", **_OWN("file", "line", "cwe", *_BASE)),
+        _report_sql(f"(SELECT * FROM {deps.MALFORMED} AS m WHERE rule <> 'dep-audit-parse-error')", detector="'hook'", **_OWN("file", *_BASE)),
+    ]),
+    "description": " UNION ALL ".join(_report_sql(x, **_OWN("detector", "confidence", "tool", "cwe", *_BASE)) for x in (d.DESCRIPTIONS, d.unseen_sql(_TEXTS), d.NESTED)),
+    "exposure": _report_sql(d.EXPOSURES, **_OWN("detector", "tool", *_BASE)),
+    "argument": _report_sql(d.ARGUMENTS, **_OWN("detector", "confidence", "tool", "cwe", *_BASE)),
+    "response": _report_sql(d.RESPONSES, **_OWN("detector", "confidence", "tool", "cwe", *_BASE)),
+    "connection": _report_sql(net.CONNECTIONS, detector="'connection'", fix=_FIXES, **_OWN("tool", *_BASE)),
+}
+
+
+def whole_report(spark, sf_dir, skip=()) -> DataFrame:
+    """All detectors' findings over all planted corpora, each corpus read once."""
+    found = report.report(
+        lines=d.lines(spark, sf_dir), files=deps.files(spark, sf_dir), tools=corpora.tools(spark, sf_dir), arguments=detect.string_arguments(corpora.tool_calls(spark, sf_dir)),
+        responses=corpora.responses(spark, sf_dir), events=net.events(spark, sf_dir), skip=skip,
+    )
+    return found.withColumn("refs", F.array_join("refs", ","))
+
+
+@query(" UNION ALL ".join(REPORT_PARTS.values()))
 def union_findings(spark, sf_dir):
-    return findings(spark, sf_dir)
+    return whole_report(spark, sf_dir)
 
 
 @query(f"SELECT * FROM {FINDINGS} AS f WHERE confidence >= 2")
@@ -69,9 +109,12 @@ def filter_severity(spark, sf_dir):
     return ops.filter_severity(findings(spark, sf_dir), "high")
 
 
-@query(f"SELECT * FROM {FINDINGS} AS f WHERE detector <> 'egress'")
+_SKIPPED = ("egress", *report.DEPENDENCY_AUDIT, "argument", "connection")
+
+
+@query(" UNION ALL ".join(sql for name, sql in REPORT_PARTS.items() if name not in _SKIPPED))
 def select_detectors(spark, sf_dir):
-    return ops.select_detectors(findings(spark, sf_dir), ["egress"])
+    return whole_report(spark, sf_dir, _SKIPPED)
 
 
 @query(f"SELECT * REPLACE (coalesce(nullif(tool, ''), target) AS tool) FROM {FINDINGS} AS f")
@@ -141,11 +184,17 @@ def target_status(spark, sf_dir):
     return ops.target_status(targets(spark, sf_dir), findings(spark, sf_dir), failures(spark, sf_dir))
 
 
+_COUNTED = f"(SELECT * FROM {FINDINGS} AS f WHERE target IN (SELECT target FROM {TARGETS} AS t) AND target NOT IN (SELECT target FROM {FAILURES} AS y))"
+
+
 @query(f"""SELECT count(*) AS targets, count(*) FILTER (reason IS NULL) AS scanned, count(reason) AS failed, count(*) FILTER (reason = 'timeout') AS timeouts, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings,
- CAST(coalesce(sum(info), 0) AS BIGINT) AS info, CAST(coalesce(sum(warning), 0) AS BIGINT) AS warning, CAST(coalesce(sum(high), 0) AS BIGINT) AS high, CAST(coalesce(sum(critical), 0) AS BIGINT) AS critical, count(*) FILTER (n > 0) AS with_findings, count(*) FILTER (reason IS NULL AND n IS NULL) AS clean
-FROM {TARGETS} AS t LEFT JOIN {FAILURES} AS x USING (target) LEFT JOIN (SELECT target, count(*) AS n, {_SEV} FROM {FINDINGS} AS f WHERE target NOT IN (SELECT target FROM {FAILURES} AS y) GROUP BY target) AS g USING (target)""")
+ CAST(coalesce(sum(info), 0) AS BIGINT) AS info, CAST(coalesce(sum(warning), 0) AS BIGINT) AS warning, CAST(coalesce(sum(high), 0) AS BIGINT) AS high, CAST(coalesce(sum(critical), 0) AS BIGINT) AS critical, count(*) FILTER (n > 0) AS with_findings, count(*) FILTER (reason IS NULL AND n IS NULL) AS clean,
+ (SELECT string_agg(cwe || '=' || CAST(n AS VARCHAR), ',' ORDER BY cwe) FROM (SELECT cwe, count(*) AS n FROM {_COUNTED} AS f WHERE coalesce(cwe, '') <> '' GROUP BY cwe) AS c) AS by_cwe
+FROM {TARGETS} AS t LEFT JOIN {FAILURES} AS x USING (target) LEFT JOIN (SELECT target, count(*) AS n, {_SEV} FROM {_COUNTED} AS f GROUP BY target) AS g USING (target)""")
 def sweep_summary(spark, sf_dir):
-    return ops.sweep_summary(targets(spark, sf_dir), findings(spark, sf_dir), failures(spark, sf_dir))
+    row = ops.sweep_summary(targets(spark, sf_dir), findings(spark, sf_dir), failures(spark, sf_dir))
+    entries = F.transform(F.array_sort(F.map_entries("by_cwe")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return row.withColumn("by_cwe", F.array_join(entries, ","))
 
 
 _VERDICTS = f"(SELECT target, rule, file, CASE length(file) % 4 WHEN 0 THEN 'FP' WHEN 1 THEN 'NOISE' WHEN 2 THEN 'TP' END AS verdict FROM {d.SOURCE} AS s WHERE length(file) % 4 < 3 GROUP BY ALL)"

@@ -8,15 +8,16 @@ from riskweave import corpora
 from riskweave.corpora import pick, pick_sql, text_sql
 from riskweave.functions import paths
 from riskweave.operators import findings as rollups
-from riskweave.operators import pins
+from riskweave.operators import pins, ruletable
 from riskweave.operators import suppress as ops
 from riskweave.operators import targets as names
 from riskweave.plans import detection as d
 from riskweave.plans import network as net
-from riskweave.sources import sinks
+from riskweave.sources import sinks, tree
 from riskweave.streaming import streams
 
 QUERIES, ORACLES = {}, {}
+_K = "c_custkey"
 
 
 def query(sql: str | None = None):
@@ -29,18 +30,27 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"SELECT target, CAST(sum(len(string_split(content, chr(10)))) AS BIGINT) AS lines FROM ({d.FILES}) AS f GROUP BY target")
+# Files with the names that source trees have, one for each customer.
+TREE_NAMES = ["__init__.py", ".env", "_private/x.py", "src/__mocks__/a.js", ".cfg/.hidden/b", "a b/%20 c.py", "plain.go"]
+TREE_TEXTS = ["x = 1\r\ny = 2\r\n", "", "\n\n", "é – 字", "\t# no end", "a\nb"]
+
+
+def tree_files(spark, sf_dir):
+    k = F.col(_K)
+    name = F.concat(F.lit("d"), k.cast("string"), F.lit("/"), pick(TREE_NAMES, k))
+    return corpora.table(spark, sf_dir, "customer").select(F.concat(pick(["t", "_t", ".t"], k), (k % 20).cast("string")).alias("target"), name.alias("path"), pick(TREE_TEXTS, F.floor(k / 7)).alias("content"))
+
+
+@query(f"SELECT {pick_sql(['t', '_t', '.t'], 'c_custkey')} || CAST(c_custkey % 20 AS VARCHAR) AS target, 'd' || CAST(c_custkey AS VARCHAR) || '/' || {pick_sql(TREE_NAMES, 'c_custkey')} AS path, {pick_sql(TREE_TEXTS, 'c_custkey // 7')} AS content FROM customer")
 def read_source_tree(spark, sf_dir):
     root = sinks.scratch(spark, "tree")
-    corpora.source_files(spark, sf_dir).select("content", "target").write.partitionBy("target").text(root)
-    tree = sinks.read_source_tree(spark, root).where(F.endswith("path", F.lit(".txt")))
-    return tree.groupBy(F.regexp_replace("target", "^target=", "").alias("target")).agg(F.sum(F.size(F.split("content", "\n", -1)) - 1).cast("long").alias("lines"))
+    tree.write_source_tree(tree_files(spark, sf_dir), root)
+    return tree.read_source_tree(spark, root)
 
 
 # Client configurations, one for each customer.
 COMMANDS = ["npx", "node", "uvx", "python"]
 ARGS = [["-y", "pkg-a"], ["--flag"], ["server.py", "-x"], []]
-_K = "c_custkey"
 
 
 def configs(spark, sf_dir):
@@ -52,12 +62,15 @@ def configs(spark, sf_dir):
 
 _NAMED = f"(SELECT * FROM customer WHERE {_K} % 7 <> 0 AND {_K} % 11 <> 0)"
 _TARGETS4 = ["pkg-a", None, "server.py", None]
-SERVERS = f"(SELECT 's' || CAST({_K} AS VARCHAR) AS name, {pick_sql(COMMANDS, _K)} AS command, CAST(CASE ({_K} // 4) % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS INTEGER) AS args, 'c' || CAST({_K} AS VARCHAR) || '/mcp.json' AS source, coalesce({pick_sql(_TARGETS4, f'{_K} // 4')}, {pick_sql(COMMANDS, _K)}) AS target FROM {_NAMED} AS n UNION ALL SELECT 'other', 'x', NULL, 'c' || CAST({_K} AS VARCHAR) || '/mcp.json', 'x' FROM {_NAMED} AS n)"
+_ARGS_TEXT = ["-y pkg-a", "--flag", "server.py -x", ""]
+SERVERS = f"""(SELECT 's' || CAST({_K} AS VARCHAR) AS name, {pick_sql(COMMANDS, _K)} AS command, {pick_sql(_ARGS_TEXT, f'{_K} // 4')} AS args, 'A=1' AS env, 'c' || CAST({_K} AS VARCHAR) || '/mcp.json' AS source, coalesce({pick_sql(_TARGETS4, f'{_K} // 4')}, {pick_sql(COMMANDS, _K)}) AS target FROM {_NAMED} AS n
+ UNION ALL SELECT 'other', 'x', NULL, NULL, 'c' || CAST({_K} AS VARCHAR) || '/mcp.json', 'x' FROM {_NAMED} AS n)"""
 
 
-@query(f"SELECT name, command, args, source FROM {SERVERS} AS s")
+@query(f"SELECT name, command, args, env, source FROM {SERVERS} AS s")
 def read_client_configs(spark, sf_dir):
-    return names.servers(configs(spark, sf_dir)).select("name", "command", F.when(F.col("args").isNotNull(), F.size("args")).alias("args"), "source")
+    env = F.array_join(F.transform(F.map_entries("env"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return names.servers(configs(spark, sf_dir)).select("name", "command", F.array_join("args", " ").alias("args"), env.alias("env"), "source")
 
 
 @query(f"SELECT source, count(*) AS servers FROM {SERVERS} AS s GROUP BY source")
@@ -77,15 +90,15 @@ CONTENT = "result struct<content:array<struct<type:string,text:string>>>"
 
 def answers(spark, sf_dir):
     k = F.col("o_orderkey").cast("string")
-    listing = F.when(F.col("o_orderkey") % 9 == 0, '{"error":{"message":"no"}}').otherwise(F.concat(F.lit('{"result":{"tools":[{"name":"a'), k, F.lit('","description":"reads"},{"name":"b'), k, F.lit('","inputSchema":{"type":"object"}}]}}')))
+    listing = F.when(F.col("o_orderkey") % 9 == 0, '{"error":{"message":"no"}}').otherwise(F.concat(F.lit('{"result":{"tools":[{"name":"a'), k, F.lit('","description":"reads"},{"name":"b'), k, F.lit('","inputSchema":{"type":"object","properties":{"a":1}}}]}}')))
     content = F.concat(F.lit('{"result":{"content":[{"type":"text","text":"t'), k, F.lit('"},{"type":"image","data":"x"},{"type":"text","text":"'), F.col("o_orderstatus"), F.lit('"}]}}'))
     return corpora.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), k).alias("target"), listing.alias("listing"), content.alias("content"))
 
 
-@query("SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS target, n.p || CAST(o_orderkey AS VARCHAR) AS tool_name, n.d AS description FROM orders CROSS JOIN (VALUES ('a', 'reads'), ('b', NULL)) AS n(p, d) WHERE o_orderkey % 9 <> 0")
+@query("""SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS target, n.p || CAST(o_orderkey AS VARCHAR) AS tool_name, n.d AS description, n.s AS input_schema FROM orders CROSS JOIN (VALUES ('a', 'reads', NULL), ('b', NULL, '{"properties":{"a":1},"type":"object"}')) AS n(p, d, s) WHERE o_orderkey % 9 <> 0""")
 def read_tool_listings(spark, sf_dir):
     parsed = answers(spark, sf_dir).select("target", F.from_json("listing", LISTING).alias("r")).where("r.error IS NULL")
-    return parsed.select("target", F.explode("r.result.tools").alias("t")).select("target", F.col("t.name").alias("tool_name"), "t.description")
+    return parsed.select("target", F.explode("r.result.tools").alias("t")).select("target", F.col("t.name").alias("tool_name"), "t.description", F.to_json("t.inputSchema").alias("input_schema"))
 
 
 @query("SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS target, 't' || CAST(o_orderkey AS VARCHAR) AS text FROM orders UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), o_orderstatus FROM orders")
@@ -135,7 +148,7 @@ FLAGGED = f"(SELECT target, rule, file, line, {_BY_RULE} AS suppressed FROM {d.S
 
 
 def flagged(spark, sf_dir):
-    found = d.source_findings(spark, sf_dir).select("target", "rule", "file", "line")
+    found = sinks.stored(d.source_findings(spark, sf_dir).select("target", "rule", "file", "line"), "found")
     return ops.suppressed_by_rule(found, ops.parse_ignore_lines(ignore_lines(spark, sf_dir)))
 
 
@@ -146,7 +159,7 @@ def suppress_by_rule(spark, sf_dir):
 
 @query(f"SELECT target, count(*) FILTER (NOT suppressed) AS kept, count(*) FILTER (suppressed) AS suppressed FROM {FLAGGED} AS f GROUP BY target")
 def split_suppressed(spark, sf_dir):
-    kept, suppressed = rollups.split_suppressed(flagged(spark, sf_dir))
+    kept, suppressed = rollups.split_suppressed(sinks.stored(flagged(spark, sf_dir), "flagged"))
     both = kept.withColumn("k", F.lit(1)).unionByName(suppressed.withColumn("k", F.lit(0)))
     return both.groupBy("target").agg(F.sum("k").alias("kept"), F.sum(1 - F.col("k")).alias("suppressed"))
 
@@ -187,11 +200,21 @@ def write_sarif(spark, sf_dir):
     path = sinks.scratch(spark, "sarif")
     sinks.write_sarif(d.source_findings(spark, sf_dir), path)
     kind = "ruleId string, level string, message struct<text:string>, locations array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>, properties struct<cwe:string,confidence:string>"
-    back = spark.read.text(path).select("target", F.from_json("value", kind).alias("r"))
+    back = spark.read.text(f"{path}/results").select("target", F.from_json("value", kind).alias("r"))
     place = F.get("r.locations", 0)["physicalLocation"]
     return back.select("target", F.col("r.ruleId").alias("rule_id"), "r.level", F.col("r.message.text").alias("message"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"), "r.properties.cwe", "r.properties.confidence")
 
 
+@query(f"SELECT target, '2.1.0' AS version, 'riskweave' AS tool, string_agg(DISTINCT rule || coalesce(' ' || cwe, ''), ',' ORDER BY rule || coalesce(' ' || cwe, '')) AS rules FROM {d.SOURCE} AS f GROUP BY target")
+def sarif_runs(spark, sf_dir):
+    path = sinks.scratch(spark, "sarif")
+    sinks.write_sarif(sinks.stored(d.source_findings(spark, sf_dir), "found"), path)
+    kind = "version string, runs array<struct<tool:struct<driver:struct<name:string,version:string,rules:array<struct<id:string,properties:struct<cwe:string>>>>>>>"
+    run = spark.read.text(f"{path}/documents").select("target", F.from_json("value", kind).alias("r")).select("target", "r.version", F.get("r.runs", 0)["tool"]["driver"].alias("driver"))
+    rules = F.transform("driver.rules", lambda x: F.concat(x["id"], F.coalesce(F.concat(F.lit(" "), x["properties"]["cwe"]), F.lit(""))))
+    return run.select("target", "version", F.col("driver.name").alias("tool"), F.array_join(F.array_sort(rules), ",").alias("rules"))
+
+
 _BODY = ["null", "", "[broken", '[{"rule":"x","severity":2,"line":3},{"rule":"y","severity":0}]', "[]", '{"a":1}']
 
 
@@ -282,7 +305,29 @@ def stream_classify_connections(spark, sf_dir):
     return streams.drain(streams.classify_connections(lines), path)
 
 
-@query(f"SELECT target, tool_name, state FROM {net.DIFFS} AS d WHERE state <> 'removed'")
+@query(f"SELECT target, tool_name, state FROM {net.DIFFS} AS d WHERE state <> 'removed' OR target IN (SELECT target FROM ({corpora.TOOLS_SQL}) AS t WHERE snapshot = 'new')")
 def stream_pin_check(spark, sf_dir):
-    tools, path = _stream(spark, sf_dir, lambda s, p: corpora.tools(s, p).where("snapshot = 'new'"), "tools")
-    return streams.drain(streams.pin_check(tools, pins.pin_table(corpora.tools(spark, sf_dir).where("snapshot = 'old'"))), path)
+    """Each listing arrives as a file; three or more batches."""
+    path = sinks.scratch(spark, "listings")
+    tools = corpora.tools(spark, sf_dir)
+    tools.where("snapshot = 'new'").repartition("target").write.parquet(f"{path}/in")
+    pins.write(tools.where("snapshot = 'old'"), f"{path}/pins")
+    return streams.check_listings(streams.table_stream(spark, f"{path}/in", files_per_batch=2), pins.read(spark, f"{path}/pins"), path).select("target", "tool_name", "state")
+
+
+# Rules as a table: one for each supplier's phone digits and key, beside the built-in ones for responses.
+_OWN = "SELECT 'own-' || CAST(s_suppkey AS VARCHAR) AS rule_id, '(?i)TOOL' || CAST(s_suppkey AS VARCHAR) || '\\b' AS pattern FROM supplier"
+_TABLE = f"({_OWN} UNION ALL SELECT rule_id, pattern FROM {d.rules_sql(d.r.RESPONSES)})"
+_CALLED = f"(SELECT o_orderkey AS k, 'called Tool' || CAST(o_custkey % 120 AS VARCHAR) || ' got ' || {pick_sql(corpora.RESPONSE_SAMPLES, 'o_orderkey')} AS text FROM orders)"
+
+
+def rule_table(spark, sf_dir):
+    own = corpora.table(spark, sf_dir, "supplier").select(F.concat(F.lit("own-"), F.col("s_suppkey").cast("string")).alias("rule_id"), F.concat(F.lit("(?i)TOOL"), F.col("s_suppkey").cast("string"), F.lit("\\b")).alias("pattern"))
+    return own.unionByName(spark.createDataFrame([(x.id, x.pattern) for x in d.r.RESPONSES], "rule_id string, pattern string"))
+
+
+@query(f"SELECT k, rule_id FROM {_CALLED} AS t JOIN {_TABLE} AS r ON regexp_matches(text, pattern)")
+def scan_rule_table(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("called Tool"), (F.col("o_custkey") % 120).cast("string"), F.lit(" got "), pick(corpora.RESPONSE_SAMPLES, k))
+    return ruletable.match_table(corpora.table(spark, sf_dir, "orders").select(k.alias("k"), text.alias("text")), "text", rule_table(spark, sf_dir)).select("k", "rule_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -67,4 +68,16 @@ ARGUMENTS = _with_confidence(c.ARGUMENT_RULES, c.CONF_MEDIUM)
 RESPONSES = _with_confidence(c.RESPONSE_RULES, c.CONF_HIGH)
 HOOKS = _with_confidence(c.HOOK_RULES, c.UNSET)
 PYTHON_HOOKS = _with_confidence(c.PYTHON_HOOK_RULES, c.UNSET)
+
+
+def code_points(ranges: Sequence[tuple[int, int]]) -> str:
+    """A character class of code points."""
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+#: Invisible characters of any kind (the message tells their number), and those of the tag block.
+INVISIBLE = (
+    Rule("invisible", "mcp-unicode-injection", c.CRITICAL, c.CONF_MEDIUM, "CWE-116", code_points(c.INVISIBLE_RANGES), ""),
+    Rule("invisible-tags", "mcp-unicode-tags-block", c.CRITICAL, c.CONF_HIGH, "CWE-116", code_points([c.TAG_BLOCK]), "Unicode Tags block characters detected — hidden ASCII message embedded in description"),
+)
 ALL = SOURCE + EGRESS + DESCRIPTIONS + ARGUMENTS + RESPONSES + HOOKS + PYTHON_HOOKS

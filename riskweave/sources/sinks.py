@@ -7,9 +7,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskweave import __version__
 from riskweave.functions.labels import confidence_label, sarif_level
 
 
+TOOL = "riskweave"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,11 +24,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """target (the first folder below root), path below it, and content of every file."""
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("full"))
-    below = F.regexp_replace(F.url_decode(F.col("full")), F.lit("^.*/" + root.rstrip("/").rsplit("/", 1)[-1] + "/"), F.lit(""))
-    return files.select(F.substring_index(below, "/", 1).alias("target"), F.regexp_replace(below, "^[^/]*/", "").alias("path"), "content")
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a scratch folder and read back, for what is read several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -40,9 +44,23 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("target", F.to_json(result).alias("result"))
 
 
+# Version of the format and where its schema lies.
+SARIF_VERSION = "2.1.0"
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
+
+
+def sarif_runs(findings: DataFrame) -> DataFrame:
+    """What a target's SARIF document says beside its results (JSON): schema, version, tool, and the rules that its findings name."""
+    rule = F.struct(F.col("rule").alias("id"), F.when(F.nullif(F.col("cwe"), F.lit("")).isNotNull(), F.struct(F.col("cwe"))).alias("properties"))
+    driver = F.struct(F.lit(TOOL).alias("name"), F.lit(__version__).alias("version"), F.array_sort(F.collect_set(rule)).alias("rules"))  # at most the rules there are
+    run = F.struct(F.struct(driver.alias("driver")).alias("tool"))
+    return findings.groupBy("target").agg(F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(run).alias("runs"))).alias("document"))
+
+
 def write_sarif(findings: DataFrame, path: str) -> None:
-    """Result rows as JSON lines, a folder for each target."""
-    sarif_results(findings).write.mode("overwrite").partitionBy("target").text(path)
+    """A folder for each target: result rows as JSON lines below ``results``, the document that they belong in below ``documents``."""
+    sarif_results(findings).write.mode("overwrite").partitionBy("target").text(f"{path}/results")
+    sarif_runs(findings).write.mode("overwrite").partitionBy("target").text(f"{path}/documents")
 
 
 def finding_json() -> Column:
