@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from riskweave.llm import extraction, packing, perplexity, toxicity
+from riskweave.llm import extraction, packing, perplexity, storage, toxicity
 from riskweave.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, score double, bits int, row string"
@@ -154,6 +154,54 @@ def test_quality_keeps_clean_and_drops_noise(spark):
     assert perplexity.classify(d, good.limit(0)).where("kept").count() == d.count() - 2
 
 
+def test_limits_are_the_quantiles_of_the_language(spark):
+    """Judged anew from the model alone, by numpy, for a language with many held-out documents and one with few."""
+    random = np.random.default_rng(8)
+    rows = [(i, " ".join(random.choice(CLEAN, int(random.integers(3, 40)))), "en" if i % 20 else "de") for i in range(1600)]
+    good = labels(spark, [(i, 1) for i, _, _ in rows], "quality")
+    out = {r["doc_id"]: r for r in perplexity.classify(docs(spark, rows), good, low=0.02, high=0.97).collect()}
+    held = {r[0] for r in spark.createDataFrame([(i,) for i, _, _ in rows], "doc_id long").where("pmod(xxhash64(doc_id, 'held out'), 4) = 0").collect()}
+    for lang, n in (("en", 300), ("de", 1)):
+        own = [r for i, r in out.items() if r["lang"] == lang and i in held]
+        assert len(own) >= n
+        if len(own) < perplexity.LEAST_DOCUMENTS:
+            own = [r for i, r in out.items() if i in held]
+            assert len({(r["low"], r["high"]) for r in out.values() if r["lang"] == lang}) == 1
+            continue
+        rates, sizes = np.log2([r["perplexity"] for r in own]), np.array([r["symbols"] for r in own])
+        centre = np.quantile(rates, 0.5, method="inverted_cdf")
+        judged = 2 ** ((rates * sizes + perplexity.SHRINK * centre) / (sizes + perplexity.SHRINK))
+        assert np.allclose(sorted(judged), sorted(r["judged"] for r in own))
+        assert own[0]["low"] == pytest.approx(np.quantile(judged, 0.02, method="inverted_cdf")) and own[0]["high"] == pytest.approx(np.quantile(judged, 0.97, method="inverted_cdf"))
+    assert all(r["kept"] == (r["low"] <= r["judged"] <= r["high"]) for r in out.values())
+
+
+def test_long_texts_are_cut_without_loss(spark, monkeypatch):
+    texts = pa.array(["ab  cd " * 900, "short 12", "", "x" * 5000])
+    wide, bounds = perplexity.grams(texts)
+    monkeypatch.setattr(perplexity, "SLICE_BYTES", 700)
+    monkeypatch.setattr(perplexity, "SLICE_SYMBOLS", 333)
+    got = [np.zeros(0, np.int64) for _ in texts]
+    for first, own, ends in perplexity.parts(texts):
+        for k in range(len(ends) - 1):
+            got[first + k] = np.concatenate([got[first + k], own[ends[k] : ends[k + 1]]])
+    for k in range(len(texts)):
+        assert got[k].tolist() == wide[bounds[k] : bounds[k + 1]].tolist()
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
+    """What stays is what the result reads: scores and limits."""
+    monkeypatch.setattr(storage, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows, _ = made(60)
+    out = perplexity.classify(docs(spark, rows), labels(spark, [(i, 1) for i, _, _ in rows[:40]], "quality"))
+    assert len(list(tmp_path.iterdir())) == 2 and out.count() == 60
+    with storage.cleared():
+        storage.materialize(out)
+        storage.kept(out)
+        assert len(list(tmp_path.iterdir())) == 4
+    assert len(list(tmp_path.iterdir())) == 3
+
+
 @pytest.mark.parametrize("texts", [["a b"] * 50 + ["word " * n for n in (1, 700, 2047, 2048, 2049, 5000)] + [None, "", "don't İΣ <|endoftext|> 日本"]])
 def test_pack_round_trip(spark, texts):
     from tokenizers import Tokenizer
