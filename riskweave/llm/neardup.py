@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.graph import components
-from riskweave.llm.storage import materialize
+from riskweave.llm.storage import cleared, kept, materialize
 from riskweave.llm.words import mixed, reduce_at, slices, split
 
 WORDS = 5
@@ -37,8 +38,8 @@ SAMPLES, ROWS, BANDS = 24, 4, 24
 LEAST_AGREEING = 12
 #: Words in at least this share of documents have their own idf, rarer ones that of this share: at most (distinct words of a mean document) / LEAST_SHARE words are broadcast.
 LEAST_SHARE = 0.001
-#: Texts compared with one text in one task.
-CHUNK = 64
+#: Texts compared with one text in one task, and their bytes.
+CHUNK, CHUNK_BYTES = 64, 2 << 20
 SLICE_BYTES = 1 << 20
 _TABLE = 1 << 16
 _RANDOM = np.random.default_rng(20_10)
@@ -49,10 +50,12 @@ BETA = _RANDOM.uniform(0, 1, _TABLE).astype(np.float32)
 ODD = (_RANDOM.integers(1, 1 << 62, SAMPLES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 #: A key of at most so many texts has its texts of different groups compared, all with all.
 SMALL = 24
-#: Texts of a block of a larger key; each task has two blocks.
-BLOCK = 256
-#: Rows that name the texts to compare are broadcast up to this number (about 60 MB), so that the other texts stay where they are; joined by a shuffle beyond it.
-MOST_NEEDS = 1_000_000
+#: Texts of a block of a larger key, and their bytes; each task has two blocks.
+BLOCK, BLOCK_BYTES = 256, 1 << 20
+#: Rows that name the texts to compare (id, hash and place, no lists) are broadcast up to this number (about 40 MB), so that the other texts stay where they are.
+MOST_NEEDS = 300_000
+#: Beyond that, only texts whose hash is among those that are needed are shuffled, as long as there are no more such hashes (about 60 MB).
+MOST_NAMES = 2_000_000
 BAND_OF = [sorted(_RANDOM.choice(SAMPLES, ROWS, replace=False).tolist()) for _ in range(BANDS)]
 _EDGE = string.punctuation + "“”‘’«»…–—¿¡"
 
@@ -180,7 +183,7 @@ def _sign(shared):
                 signed = samples(keys, weights, bounds)
                 lists = pa.ListArray.from_arrays(np.arange(0, signed.size + 1, SAMPLES, dtype=np.int32), pa.array(signed.ravel()))
                 total = reduce_at(np.add, weights, bounds, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(total), lists], names=["doc_id", "key", "weight", "samples"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(total), pc.binary_length(texts).cast(pa.int64()), lists], names=["doc_id", "key", "weight", "bytes", "samples"])
 
     return run
 
@@ -242,7 +245,7 @@ def _candidates(threshold: float, least: int):
 def _joined(shared, threshold: float):
     """Links that join the similar ones of a task's pairs; a pair that others have joined needs none."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, lists: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         at = table["at"].to_numpy()
         table = table.take(pa.array(np.unique(at, return_index=True)[1]))  # rows may repeat id and text
@@ -252,8 +255,9 @@ def _joined(shared, threshold: float):
         found, ids = np.unique(keys, return_inverse=True)
         own, group = np.zeros(len(found)), np.arange(len(names))
         out = []
-        for p, partners in enumerate(table["partners"].to_pylist()):
-            q = np.searchsorted(at, np.array(partners, dtype=at.dtype))
+        for own_at, partners in zip(lists["at"].to_pylist(), lists["partners"], strict=True):
+            p = int(np.searchsorted(at, own_at))
+            q = np.searchsorted(at, partners.values.to_numpy().astype(at.dtype))
             q = q[group[q] != group[p]]
             if not len(q):
                 continue
@@ -304,33 +308,42 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
     idf = docs.sparkSession.sparkContext.broadcast(word_idf(rows))  # frequent words only
-    signed = materialize(rows.mapInArrow(_sign(idf), "doc_id long, key binary, weight double, samples array<long>"))
-    texts = materialize(signed.where("weight > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("samples").alias("samples")))
+    signed = materialize(rows.mapInArrow(_sign(idf), "doc_id long, key binary, weight double, bytes long, samples array<long>"))
+    texts = materialize(signed.where("weight > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bytes").alias("bytes"), F.first("samples").alias("samples")))
     left = texts.select(F.col("key").alias("a"), "weight", "samples")
-    right = texts.select(F.col("key").alias("b"), F.col("weight").alias("weight_b"), F.col("samples").alias("samples_b"))
+    right = texts.select(F.col("key").alias("b"), "bytes", F.col("weight").alias("weight_b"), F.col("samples").alias("samples_b"))
 
     def with_text(needs: DataFrame) -> DataFrame:
-        """``needs`` with the text of each key."""
+        """``needs`` (slim rows) with the text of each key."""
         needs = materialize(needs.join(texts.select("key", F.coalesce("doc_id", F.lit(-1)).alias("_id")), "key"))
+        own = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1)))
         small = needs.limit(MOST_NEEDS + 1).count() <= MOST_NEEDS
-        return rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(F.broadcast(needs) if small else needs, ["key", "_id"]).select(*[c for c in needs.columns if c != "_id"], "text")
+        if not small:
+            names = materialize(needs.select(F.xxhash64("key", "_id").alias("_name")).distinct())
+            if names.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
+                own = own.withColumn("_name", F.xxhash64("key", "_id")).join(F.broadcast(names), "_name", "left_semi").drop("_name")
+        return own.join(F.broadcast(needs) if small else needs, ["key", "_id"]).select(*[c for c in needs.columns if c != "_id"], "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts are similar: a's text meets those of b in chunks."""
-        pairs = materialize(materialize(pairs).join(right, "b").join(left, "a").where(_alike(threshold, LEAST_AGREEING)).select("a", "b"))
-        chunks = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")))
-        pairs = materialize(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")))
+        pairs = materialize(materialize(pairs).join(right, "b").join(left, "a").where(_alike(threshold, LEAST_AGREEING)).select("a", "b", "bytes"))
+        chunks = materialize(pairs.groupBy("a").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("bytes") / CHUNK_BYTES)).alias("chunks")))
+        pairs = materialize(pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.greatest("chunks", F.lit(1))).alias("chunk")))
         needs = pairs.select(F.col("b").alias("key"), "a", "chunk").unionByName(pairs.select(F.col("a").alias("key"), "a", "chunk").distinct())
         return materialize(with_text(needs).groupBy("a", "chunk").applyInArrow(_similar(idf, threshold), "a binary, b binary, similarity double"))
 
     def rest(large: DataFrame) -> DataFrame:
         """Links among texts of large keys that carry different labels: all pairs, block against block."""
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = large.join(texts.select("key", "weight", "samples"), "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-        met = own.withColumn("_to", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("block", "_to")).withColumn("j", F.greatest("block", "_to"))
+        sized = large.join(texts.select("key", "weight", "bytes", "samples"), "key")
+        blocks = sized.groupBy("band").agg(F.greatest(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)), F.lit(1)).cast("int").alias("blocks"))
+        own = sized.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        met = own.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "_to")).withColumn("j", F.greatest("block", "_to"))
         met = met.select("band", "i", "j", "which", "block", "key", "label", "weight", "samples")
         found = materialize(met.groupBy("band", "i", "j").applyInArrow(_candidates(threshold, LEAST_AGREEING), "band long, i int, j int, key binary, at int, partners array<int>"))
-        return materialize(with_text(found).groupBy("band", "i", "j").applyInArrow(_joined(idf, threshold), "a binary, b binary, similarity double"))
+        # Lists of partners go to their task by themselves, texts by the slim rows that name them.
+        meant = with_text(found.select("band", "i", "j", "key", "at"))
+        lists = found.where(F.size("partners") > 0).select("band", "i", "j", "at", "partners")
+        return materialize(meant.groupBy("band", "i", "j").cogroup(lists.groupBy("band", "i", "j")).applyInArrow(_joined(idf, threshold), "a binary, b binary, similarity double"))
 
     keyed = _keyed(texts, BAND_OF)
     star = lambda k: k.where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b")).distinct()
@@ -365,9 +378,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id and text are kept or not together.  An empty table gives an empty result.
     Other columns are ignored.
     """
-    rows, _, labels = near_links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    labelled = materialize(rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
-    groups = materialize(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")))
+    with cleared():
+        rows, _, labels = near_links(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+        labelled = kept(rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
+        groups = kept(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows")))
     return labelled.join(groups, "label").select("doc_id", "key", "class_id", "class_rows", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 

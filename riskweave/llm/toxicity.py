@@ -25,10 +25,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 10
 #: Lengths of character n-grams; words count with ``<`` before and ``>`` after them.
 GRAMS = (3, 4, 5, 6)
-#: Labelled rows of each class that training takes at most.
-SAMPLE_ROWS = 1500
-#: Longer texts do not train (they are scored whole all the same); this and SAMPLE_ROWS bound the driver's memory.
-SAMPLE_CHARS = 8_000
+#: Labelled rows of each class that training takes at most, and their characters altogether: what bounds the driver's memory.  Rows are drawn by a hash of their ids, whatever their length.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8_000_000
 EPOCHS, BATCH, RATE = 8, 32, 0.2
 #: Buckets of fewer texts of the sample have no vector: they would only be learnt by heart.
 LEAST_TEXTS = 3
@@ -154,21 +152,25 @@ def train(texts: list[str], toxic: list[int], prior: float, *, seed: int = 7) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from at most ``sample_rows`` labelled rows of each class, those with the smallest hashes.
+    """A model from at most ``sample_rows`` labelled rows of each class, those with the smallest hashes, as far as they have ``sample_chars`` characters together (one row at least).
 
     Only rows whose crc32 of the id is not 2 by 4 teach.  Labels other than 0 and
-    1 are ignored; an id with several labels has the larger.
+    1 are ignored; an id with several labels has the larger, one with several
+    texts the last of them in order.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_toxic"))
     known = known.where(F.col("_id").isNotNull() & ~is_held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    there = docs.select(F.col(id_col).cast("long").alias("_id"), F.length(text_col).alias("_n")).where(F.col("_n") <= sample_chars).select("_id")
-    known = known.join(there, "_id", "left_semi")
+    there = docs.select(F.col(id_col).cast("long").alias("_id"), F.length(text_col).alias("_n")).where("_n > 0").groupBy("_id").agg(F.max("_n").alias("_n"))
+    known = known.join(there, "_id")
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("_toxic")).first()
-    chosen = [known.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows) for k in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])
-    # At most twice sample_rows ids are broadcast, and as many texts are collected.
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") <= sample_chars).join(F.broadcast(ids), "_id")
-    one = rows.groupBy("_id", "_toxic").agg(F.max("_text").alias("_text")).toArrow().sort_by("_id")
+    chosen = [known.where(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows).collect() for k in (0, 1)]  # at most sample_rows ids
+    ids = []
+    for rows in chosen:
+        before = np.cumsum([0, *[r["_n"] for r in rows]])
+        ids += [(r["_id"], r["_toxic"]) for r, size in zip(rows, before, strict=False) if size + r["_n"] <= sample_chars or r is rows[0]]
+    own = docs.sparkSession.createDataFrame(ids, "_id long, _toxic int")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0).join(F.broadcast(own), "_id")
+    one = texts.groupBy("_id", "_toxic").agg(F.max("_text").alias("_text")).toArrow().sort_by("_id")
     return train(one["_text"].to_pylist(), one["_toxic"].to_pylist(), (toxic or 0) / n if n else 0.1)
 
 

@@ -57,6 +57,18 @@ def test_held_out_labels_teach_nothing(spark):
     assert one == two
 
 
+def test_long_texts_teach(spark):
+    """The only toxic texts are long ones; the sample is bounded by its characters, not by their length."""
+    rows, _ = made(200, seed=5)
+    clean = [(i, t.replace("idiot", "river").replace("moron", "river").replace("stupid", "river").replace("moroon", "river").replace("idioot", "river"), lang) for i, t, lang in rows]
+    long = [(1000 + i, " ".join(CLEAN * 150) + " idiot moron" * 60, "en") for i in range(40)]
+    marks = [(i, 0) for i, _, _ in clean] + [(i, 1) for i, _, _ in long]
+    got = {r["doc_id"]: r for r in toxicity.judge(docs(spark, [*clean, *long, (5000, "you idiot moron " * 9, "en")]), labels(spark, marks, "toxic")).collect()}
+    assert got[5000]["predicted"] == 1 and not any(got[i]["predicted"] for i, _, _ in clean)
+    model = toxicity.fit(docs(spark, long + clean), labels(spark, marks, "toxic"), sample_chars=20_000)
+    assert model.scores(pa.array(["you idiot moron " * 9]))[0] > model.scores(pa.array([clean[0][1]]))[0]
+
+
 def test_toxicity_without_labels(spark):
     rows, marks = made(8)
     assert len({r["score"] for r in toxicity.judge(docs(spark, rows), labels(spark, [], "toxic")).collect()}) == 1
