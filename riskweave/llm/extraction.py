@@ -4,8 +4,10 @@ Markup is read into a tree of blocks.  Every paragraph gives points for its
 length and its commas to its parent and, halved, to its grandparent and so on; a
 container's points are cut by the share of its text that stands in links.  The
 best container is the article, with those of its siblings that score alike or
-read like prose.  What is never an article (menus, forms, scripts, notices,
-comments of readers) is left out by tag, role and name first.
+read like prose.  What is never an article (menus, forms, scripts) is left out by
+tag and role first, and so is what all words of a name say to be a notice, an
+advert or readers' comments.  Inside the article nothing else is dropped but
+lists that are nothing but short links.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 # Tags by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes noembed".split())
-DROPPED = frozenset("script style noscript template iframe head title nav header footer aside form button select option input textarea label svg canvas object embed menu dialog fieldset math audio video noframes noembed xmp".split())
+DROPPED = frozenset("script style noscript template iframe head title nav header footer aside form button select option input textarea label svg canvas object embed menu dialog fieldset audio video noframes noembed xmp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -38,16 +40,28 @@ CLOSES = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-UNLIKELY = re.compile(
-    r"(^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|disqus|disclaimer|footer|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|rss|share\w*|sharing|sidebar|side-bar|sidenav|skyscraper|social|sponsor\w*|subscribe|tags?|toolbar|widget)([\s_-]|$)",
-    re.IGNORECASE,
+# Words of class and id names that say what a part of a page is, and words that only say where it stands.
+UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion related replies respond rss share shares sharing sidebar sidenav skyscraper social sponsor sponsored sponsors subscribe tags toolbar widget widgets".split()
+)
+NEUTRAL = frozenset(
+    "a area bar block bottom box button buttons center col column container cta float full group holder icon icons inner item items large left link links list main mobile outer panel posts primary right row secondary section side site slot small stories sub the top unit wide wrap wrapper zone".split()
 )
 LIKELY = re.compile(r"(^|[\s_-])(article\w*|body|content|entry\w*|main|post\w*|story|text)([\s_-]|$)", re.IGNORECASE)
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising promo promos promotion sponsor sponsored sponsors".split())
+#: Elements whose names don't decide, and those that are parts of a text.
+WHOLE = frozenset("html body article main".split())
+TEXT_PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote code em strong b i a figure figcaption table tr".split())
 ROLES_DROPPED = frozenset("navigation banner contentinfo complementary search menu menubar form dialog alert alertdialog".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
+WORD = re.compile(r"[a-z]+")
+#: A list inside the article is a menu if at least this share of it stands in links, and its items have at most so many characters on average.
+MENU_LINKS, MENU_ITEM = 0.9, 30
+#: A container that its name marks as the article takes the best one's place if its other parts add at least this share of points.
+OTHERS = 0.1
 
 
 #: Elements deeper than this are read as if they stood beside each other, as browsers do.
@@ -63,6 +77,15 @@ class Node:
         self.points = 0.0
 
 
+def unlikely(names: str, out: frozenset[str] = UNLIKELY) -> bool:
+    """One of the names is made of nothing but words for what isn't an article, and words for places: ``comment-list``, not ``related-work``."""
+    for name in names.lower().split():
+        words = set(WORD.findall(name))
+        if words & out and words <= out | NEUTRAL:
+            return True
+    return False
+
+
 def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether a tag is left out, and whether its names speak for an article."""
     if tag in DROPPED:
@@ -73,7 +96,8 @@ def _judged(tag: str, attributes: str) -> tuple[bool, bool]:
     names = f"{found.get('class', '')} {found.get('id', '')}"
     likely = tag in ("article", "main") or bool(LIKELY.search(names)) or found.get("role") == "main"
     out = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES_DROPPED or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
-    return out or bool(tag not in ("body", "html", "article", "main") and UNLIKELY.search(names)), likely
+    # Names count for parts of a page; of a paragraph or heading of its text they only tell adverts.
+    return out or unlikely(names, ADVERTS if tag in TEXT_PARTS else UNLIKELY) and tag not in WHOLE, likely
 
 
 def parse(page: str) -> Node:
@@ -208,12 +232,13 @@ def extract(page: str | None) -> str:
         return "\n".join(t for b, t, k in found if k * 2 <= len(t) and (marked is None or _within_likely(b)))
     best_key = max(final, key=final.get)
     best = scored[best_key]
-    # An ancestor that is marked as the article holds its parts together.
-    above = best
+    # An ancestor that is the article, or whose name marks it so and whose other parts count, holds its parts together.
+    above, share = best.parent, 0.5
     while above:
-        if above.tag in ("article", "main") or (above.likely and above.tag in BLOCKS):
+        others = final.get(id(above), 0.0) - share * final[best_key]
+        if above.tag in ("article", "main") or (above.likely and above.tag in BLOCKS and others >= OTHERS * final[best_key]):
             best = above
-        above = above.parent
+        above, share = above.parent, share / 2
     chosen = {id(best)}
     threshold = max(10.0, 0.2 * final.get(id(best), final[best_key]))
     if best.parent and best.tag not in ("article", "main"):
@@ -234,16 +259,36 @@ def extract(page: str | None) -> str:
                 chosen.add(id(x))
     elif best.tag in ("article", "main") and best.parent:
         chosen |= {id(x) for x in best.parent.items if isinstance(x, Node) and x.tag == best.tag and final.get(id(x), 0.0) >= threshold}
+    menus = _menus(found)
     kept = []
     for block, text, linked in found:
         above = block
         while above and id(above) not in chosen:
             above = above.parent
-        if above and (linked * 2 <= len(text) or block.tag in ("p", "h1", "h2", "h3")):
+        if above and id(block) not in menus:
             kept.append(text)
     return "\n".join(kept)
 
 
+def _menus(found: list[tuple[Node, str, int]]) -> set[int]:
+    """Blocks of lists that are nothing but short links, and blocks that are rows of links by themselves."""
+    lists: dict[int, list[tuple[Node, str, int]]] = {}
+    out: set[int] = set()
+    for block, text, linked in found:
+        above: Node | None = block
+        while above and above.tag not in ("ul", "ol", "dl"):
+            above = above.parent
+        if above:
+            lists.setdefault(id(above), []).append((block, text, linked))
+        elif block.tag in ("div", "section", "td") and linked >= MENU_LINKS * len(text):
+            out.add(id(block))
+    for own in lists.values():
+        size = sum(len(t) for _, t, _ in own)
+        if sum(k for _, _, k in own) >= MENU_LINKS * size and size <= MENU_ITEM * len(own):
+            out |= {id(b) for b, _, _ in own}
+    return out
+
+
 def _within_likely(node: Node) -> bool:
     above: Node | None = node
     while above:

@@ -19,7 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.storage import materialize
+from riskweave.functions.text import bound
+from riskweave.llm.storage import cleared, kept, materialize
 
 #: Terms kept: those in at least this and at most that share of the documents.
 LEAST_SHARE, MOST_SHARE = 0.001, 0.2
@@ -90,25 +91,28 @@ def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], colum
     """``keys``, which name a row, and the fingerprint of each text column under its own name.
 
     Terms are exploded in place and met with the broadcast lexicon; a row's terms
-    stay in its task, where each subset's hash is summed up in a fixed number of
-    bytes.  The sum is a bitwise one over the hashes of distinct terms, so it is
-    that of the sorted terms without the sort.
+    stay in its task, where those of the lexicon come together again.  They are
+    sorted once; of each subset the terms that it keeps are hashed in this order.
     """
     # The empty term stands for every text, so that none is lost in the join.
-    known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets"))).withColumn("hash", F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long"))
+    known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets")))
     each = F.array(*[F.struct(F.lit(i).alias("kind"), F.array_append(terms_of(F.col(c)), F.lit("")).alias("terms")) for i, c in enumerate(columns)])
     whole = [F.md5(F.col(c)).alias(f"_whole{i}") for i, c in enumerate(columns)]
-    spread = texts.select(*keys, *whole, F.explode(each).alias("x")).select(*keys, *[f"_whole{i}" for i in range(len(columns))], "x.kind", F.explode("x.terms").alias("term"))
-    hits = spread.join(F.broadcast(known), "term").groupBy(*keys, *[f"_whole{i}" for i in range(len(columns))])
-    of = lambda i, k: F.when((F.col("kind") == i) & (F.col("subsets").bitwiseAND(1 << k) > 0), F.col("hash"))
-    sums = hits.agg(*[F.bit_xor(of(i, k)).alias(f"_{i}_{k}") for i in range(len(columns)) for k in range(len(SUBSETS))])
+    names = [*keys, *[f"_whole{i}" for i in range(len(columns))]]
+    spread = texts.select(*keys, *whole, F.explode(each).alias("x")).select(*names, "x.kind", F.explode("x.terms").alias("term"))
+    of = lambda i: F.array_sort(F.collect_list(F.when((F.col("kind") == i) & (F.col("subsets") > 0), F.struct("term", "subsets"))))
+    met = spread.join(F.broadcast(known), "term").groupBy(*names).agg(*[of(i).alias(f"_terms{i}") for i in range(len(columns))])
+
+    def part(terms: Column, k: int) -> Column:
+        own = F.transform(F.filter(terms, lambda x: x["subsets"].bitwiseAND(1 << k) > 0), lambda x: x["term"])
+        # Terms are letters and digits, so the joined text is that of one list of terms only.
+        return bound(own, lambda x: F.when(F.size(x) > 0, F.left(F.md5(F.array_join(x, " ")), F.lit(16))).otherwise("_"))
 
     def written(i: int) -> Column:
-        parts = [F.coalesce(F.lower(F.lpad(F.hex(F.col(f"_{i}_{k}").bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit("_")) for k in range(len(SUBSETS))]
-        none = reduce(Column.__and__, [F.col(f"_{i}_{k}").isNull() for k in range(len(SUBSETS))])
-        return F.when(none, F.concat(F.lit("="), F.col(f"_whole{i}"))).otherwise(F.concat_ws("-", *parts))
+        parts = F.array_join(F.array(*[part(F.col(f"_terms{i}"), k) for k in range(len(SUBSETS))]), "-")
+        return bound(parts, lambda x: F.when(x.rlike("^[_-]*$"), F.concat(F.lit("="), F.col(f"_whole{i}"))).otherwise(x))
 
-    return sums.select(*keys, *[written(i).alias(c) for i, c in enumerate(columns)])
+    return met.select(*keys, *[written(i).alias(c) for i, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -131,6 +135,11 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     row is its own next document; an empty table gives an empty result.  Other
     columns are ignored.
     """
+    with cleared():
+        return _fingerprinted(docs, id_col, text_col, least, most)
+
+
+def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, least: float, most: float) -> DataFrame:
     lexicon = lexicon_of(docs, text_col=text_col, least=least, most=most)
     near = with_next(docs, id_col=id_col, text_col=text_col).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
@@ -138,7 +147,7 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     near = near.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
     keys = ["part", "row", "doc_id", "n_chars", "edited_sha256", "next_part", "next_row"]
     prints = fingerprints_of(near.select(*keys, F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")), lexicon, keys, ["fingerprint", "edited_fingerprint"])
-    prints = materialize(prints)
+    prints = kept(prints)
     following = prints.select(F.col("part").alias("next_part"), F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
     return prints.join(following, ["next_part", "next_row"], "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next")

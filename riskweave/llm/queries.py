@@ -98,14 +98,14 @@ def _fingerprint_sql() -> str:
     n = len(fingerprints.SUBSETS)
     terms = f"list_filter(list_distinct(regexp_split_to_array(lower(x), '{fingerprints.TERM_BREAK}')), lambda t: t <> '')"
     drawn = " + ".join(f"CASE WHEN CAST('0x' || substr(md5('{k}:' || term), 1, 5) AS BIGINT) < {int(share * (1 << 20))} THEN {1 << k} ELSE 0 END" for k, share in enumerate(fingerprints.SUBSETS))
-    sums = ", ".join(f"bit_xor(h) FILTER (subsets & {1 << k} > 0) AS p{k}" for k in range(n))
-    written = "CASE WHEN coalesce(" + ", ".join(f"p{k}" for k in range(n)) + ") IS NULL THEN '=' || md5(x) ELSE concat_ws('-', " + ", ".join(f"coalesce(printf('%08x', p{k} & 4294967295), '_')" for k in range(n)) + ") END"
+    sums = ", ".join(f"left(md5(string_agg(term, ' ' ORDER BY term) FILTER (subsets & {1 << k} > 0)), 16) AS p{k}" for k in range(n))
+    written = "CASE WHEN coalesce(" + ", ".join(f"p{k}" for k in range(n)) + ") IS NULL THEN '=' || md5(x) ELSE concat_ws('-', " + ", ".join(f"coalesce(p{k}, '_')" for k in range(n)) + ") END"
     alike = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE len(list_filter(range(1, {n} + 1), lambda i: split_part({a}, '-', i) = split_part({b}, '-', i) AND split_part({a}, '-', i) NOT IN ('_', ''))) / len(list_filter(range(1, {n} + 1), lambda i: NOT (split_part({a}, '-', i) IN ('_', '') AND split_part({b}, '-', i) IN ('_', '')))) END"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
 e AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id DESC)),
 f AS (SELECT doc_id, n_chars, text, next_id, left(text, n_chars - n_chars // 3) || left(next_text, n_chars // 3) AS edited FROM e),
 c AS (SELECT term, count(*) AS df FROM (SELECT unnest({terms}) AS term FROM (SELECT text AS x FROM d) AS y) AS z GROUP BY term),
-l AS (SELECT term, {drawn} AS subsets, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS h FROM c WHERE df >= {fingerprints.LEAST_SHARE} * (SELECT count(*) FROM d) AND df <= greatest({fingerprints.MOST_SHARE} * (SELECT count(*) FROM d), 1)),
+l AS (SELECT term, {drawn} AS subsets FROM c WHERE df >= {fingerprints.LEAST_SHARE} * (SELECT count(*) FROM d) AND df <= greatest({fingerprints.MOST_SHARE} * (SELECT count(*) FROM d), 1)),
 x AS (SELECT doc_id, 0 AS kind, text AS x FROM f UNION ALL SELECT doc_id, 1, edited FROM f),
 s AS (SELECT doc_id, kind, {sums} FROM (SELECT doc_id, kind, unnest({terms}) AS term FROM x) AS t JOIN l USING (term) GROUP BY doc_id, kind),
 p AS (SELECT doc_id, kind, {written} AS fp FROM x LEFT JOIN s USING (doc_id, kind)),

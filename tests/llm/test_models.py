@@ -264,3 +264,72 @@ def test_extraction(spark):
     first = "Title & more\nFirst para, with some text, and commas, long enough to count really well.\nSecond para é, also long enough, and more commas, so it counts as well.\nitem one\nitem two"
     assert {(1, first), (2, ""), (3, ""), (None, "plain <text> only"), (4, "cut &am"), (5, "deep text that goes on, and on, for a while"), (5, "")} <= got
     assert extraction.extract_pages(d.limit(0)).count() == 0
+
+
+def generated(random):
+    """A page and the blocks of its article."""
+    word = lambda: "".join(random.choice(list("abcdefghijklmno"), int(random.integers(2, 9))))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + random.choice([",", "."])
+    prose = lambda: " ".join(sentence(int(random.integers(6, 15))) for _ in range(int(random.integers(2, 6))))
+    links = lambda n: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
+    blocks, inside = [], []
+
+    def add(markup, *texts):
+        inside.append(markup)
+        blocks.extend(texts)
+
+    title = sentence(5)
+    add(f"<h1>{title}</h1>", title)
+    for _ in range(int(random.integers(4, 12))):
+        kind = int(random.integers(0, 10))
+        a, b, c = prose(), prose(), sentence(4)
+        if kind == 0:
+            add(f'<h4><a href="/x">{c}</a></h4>', c)
+        elif kind == 1:
+            add(f'<ul class="sources"><li>{c} <a href="http://s/1">{a}</a></li><li><a href="http://s/2">{b}</a></li></ul>', f"{c} {a}", b)
+        elif kind == 2:
+            add(f'<section class="related-work"><h2>{c}</h2><p>{a}</p></section>', c, a)
+        elif kind == 3:
+            add(f'<p class="tag">{a}</p>', a)
+        elif kind == 4:
+            add(f"<p>{c} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {a}</p>", f"{c} x=2 {a}")
+        elif kind == 5:
+            add(f"<blockquote><p>{a}</p></blockquote><p>{b}</p>", a, b)
+        elif kind == 6:
+            add(f"<table><tr><td>{a}</td><td>{c}</td></tr></table>", a, c)
+        elif kind == 7:
+            add(f'<div class="ad-slot">{sentence(8)}</div><p>{a}<script>var t="</p>";</script></p>', a)
+        elif kind == 8:
+            add(f'<div class="header-note"><p>{a}</p></div><!-- {b} -->', a)
+        else:
+            add(f"<p>{a}<p>{b}", a, b)
+    for _ in range(3):
+        a = prose()
+        add(f"<p>{a}</p>", a)
+    body = "".join(inside)
+    wrap = int(random.integers(0, 4))
+    body = [f"<article>{body}</article>", f'<div class="post-content">{body}</div>', f'<div id="x"><div>{body}</div></div>', f"<main><div>{body}</div></main>"][wrap]
+    noise = lambda: "".join(
+        random.choice(
+            [
+                f"<nav><ul>{links(5)}</ul></nav>", f'<div class="sidebar"><p>{prose()}</p><ul>{links(6)}</ul></div>', f'<div class="cookie-notice"><p>{prose()}</p></div>', f'<div id="comments"><div class="comment"><p>{prose()}</p></div></div>', f'<aside><p>{prose()}</p></aside>',
+                f"<form><p>{prose()}</p><input></form>", f'<div class="ad">{sentence(9)}</div>', f'<div style="display: none"><p>{prose()}</p></div>', f"<header><p>{sentence(5)}</p></header>", f'<ul class="menu">{links(7)}</ul>', f'<div role="navigation">{links(3)}</div>',
+            ],
+            int(random.integers(1, 5)),
+        )
+    )
+    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{noise()}{body}{noise()}<footer>&copy; {sentence(4)}</footer></body></html>", "\n".join(blocks)
+
+
+def test_extraction_of_generated_pages(spark):
+    """Pages whose article is known, block by block."""
+    random = np.random.default_rng(17)
+    pages = [generated(random) for _ in range(400)]
+    got = {r["page_id"]: r["text"] for r in extraction.extract_pages(spark.createDataFrame([(i, "u", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    wrong = [i for i, (_, want) in enumerate(pages) if got[i] != want]
+    assert not wrong, (len(wrong), pages[wrong[0]][0], got[wrong[0]], pages[wrong[0]][1])
+
+
+@pytest.mark.parametrize(("names", "out"), [("related-work", False), ("related-posts", True), ("tag", False), ("comment-list", True), ("comments", True), ("header-note", False), ("site-header", True), ("ad", True), ("adage", False), ("note content", False), ("sidebar_left2", True), ("", False), ("shares-outstanding", False)])
+def test_names_of_parts(names, out):
+    assert extraction.unlikely(names) is out

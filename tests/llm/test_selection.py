@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from riskweave.llm import fingerprints, hosts, mixing, quotes
@@ -181,4 +182,60 @@ def test_quotes_of_lines_and_sentences(spark):
     m = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): (r["linked"], r["reply_to"]) for r in quotes.link_quotes(m).collect()}
     linked = {k: v[1] for k, v in got.items() if v[0]}
-    assert linked == {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 5): 0, (1, 8): 7}
+    assert linked == {(1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 4): 0, (1, 5): 0, (1, 8): 7}
+
+
+def test_quotes_equal_a_search_in_every_earlier_message(spark):
+    """Quotes of any words in a row, wrapped and nested anew, some with words left out, some of nothing, one long message."""
+    import re
+
+    random = np.random.default_rng(31)
+    vocabulary = [f"w{i}" for i in range(60)] + ["Ünder", "x-y"]
+    plain = lambda t: [w for w in re.sub(r"[^\w]+|_", " ", t.lower()).split(" ") if w]
+    rows, own, want = [], {}, {}
+    for conv in range(6):
+        turns = 60 if conv else 200  # one long conversation
+        for turn in range(turns):
+            words = random.choice(vocabulary, 3000 if (conv, turn) == (0, 3) else int(random.integers(1, 40))).tolist()
+            said = " ".join(words[:7]) + ".\n" + " ".join(words[7:])
+            lines, quotes_ = [], []
+            if turn and random.random() < 0.7:
+                for level in range(1, 1 + int(random.integers(1, 3))):
+                    source = own[conv, int(random.integers(0, turn))]
+                    if random.random() < 0.2:
+                        source = random.choice(vocabulary, 8).tolist()
+                    a = int(random.integers(0, len(source)))
+                    b = a + int(random.integers(1, 30))
+                    fragments = [source[a:b]]
+                    if random.random() < 0.3 and len(source) > b + 2:
+                        fragments.append(source[b + 1 : b + 6])
+                    fragments = [f for f in fragments if f]
+                    quotes_.append((level, fragments))
+                    text = " [...] ".join(" ".join(f) for f in fragments).upper()
+                    cut = len(text) // 2 + text[len(text) // 2 :].find(" ") if " " in text[len(text) // 2 :] else len(text)
+                    lines += ["Am 3. Mai hat X geschrieben:"] if random.random() < 0.3 and not lines else []
+                    lines += [">" * level + " " + text[:cut]] + ([">" * level + text[cut:]] if text[cut:].strip() else []) + [""]
+            own[conv, turn] = plain(said)
+            rows.append((conv, turn, "u", "\n".join([*lines, said])))
+            found = []
+            for level, fragments in quotes_:
+                holds = lambda words, f: any(words[i : i + len(f)] == f for i in range(len(words) - len(f) + 1))
+                origins = [t for t in range(turn) if all(holds(own[conv, t], plain(" ".join(f))) for f in fragments)]
+                found.append((level, max(origins) if origins else None))
+            there = sorted((level, -t) for level, t in found if t is not None)
+            want[conv, turn] = (-there[0][1] if there else None, said)
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_to"], r["body"]) for r in quotes.link_quotes(m).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: plain(v[1]) for k, v in got.items()} == {k: plain(v[1]) for k, v in want.items()}
+    assert sum(v[0] is not None for v in want.values()) > 150
+
+
+def test_attributions_by_shape(spark):
+    rows = [
+        (1, 0, "alpha beta gamma"), (1, 1, "Am 3. Mai hat X geschrieben:\n> alpha beta\nyes"), (1, 2, "Anna:\n\n> gamma\nok"), (1, 3, "I do not quite agree with what follows here:\n> beta gamma\nno"), (1, 4, "Le mar. 4 mai, Y a écrit :\n> beta\noui"), (1, 5, "Note:\nno quote"),
+        (1, 5, "Note:\nno quote"), (1, 6, "> no quote\ntwice there"),
+    ]
+    m = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["reply_to"], r["body"]) for r in quotes.link_quotes(m).collect()}
+    assert got == {0: (None, "alpha beta gamma"), 1: (0, "yes"), 2: (0, "ok"), 3: (0, "I do not quite agree with what follows here:\nno"), 4: (0, "oui"), 5: (None, "Note:\nno quote"), 6: (5, "twice there")}
