@@ -104,28 +104,32 @@ def train(texts: list[str], toxic: list[int], prior: float, *, seed: int = 7) ->
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, part in slices(pa.array(texts, pa.string()), 1 << 18):
-        rows += bags(part)
-    random = np.random.default_rng(seed)
+    # Bags are made twice, so that only what trains is ever held, in two arrays of known size.
+    parts = [part for _, part in slices(pa.array(texts, pa.string()), 1 << 18)]
     texts_of = np.zeros(BUCKETS, np.int64)
-    for ids, _ in rows:
-        texts_of[ids] += 1
+    for part in parts:
+        for own_ids, _ in bags(part):
+            texts_of[own_ids] += 1
     used = np.flatnonzero(texts_of >= LEAST_TEXTS)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    for i, (ids, w) in enumerate(rows):
-        there = place[ids] >= 0
-        rows[i] = (place[ids][there], w[there])
+    size = int(texts_of[used].sum())
+    bag_ids, bag_weights, bounds = np.empty(size, np.int32), np.empty(size, np.float32), [0]
+    for part in parts:
+        for own_ids, own_weights in bags(part):
+            there = place[own_ids] >= 0
+            bounds.append(bounds[-1] + int(there.sum()))
+            bag_ids[bounds[-2] : bounds[-1]], bag_weights[bounds[-2] : bounds[-1]] = place[own_ids][there], own_weights[there]
+    random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (len(used), DIMENSIONS))
     softmax, bias = random.normal(0, 1, (DIMENSIONS, 2)), np.zeros(2)
     seen_v, seen_s, seen_b = np.full(len(used), 1e-10), np.full(softmax.shape, 1e-8), np.full(2, 1e-8)
     for epoch in range(EPOCHS):
-        rate, order = RATE * (1 - epoch / EPOCHS), random.permutation(len(rows))
+        rate, order = RATE * (1 - epoch / EPOCHS), random.permutation(len(y))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            ids, weights = np.concatenate([rows[k][0] for k in own]), np.concatenate([rows[k][1] for k in own])
-            doc = np.repeat(np.arange(len(own)), [len(rows[k][0]) for k in own])
+            ids, weights = (np.concatenate([x[bounds[k] : bounds[k + 1]] for k in own]) for x in (bag_ids, bag_weights))
+            doc = np.repeat(np.arange(len(own)), [bounds[k + 1] - bounds[k] for k in own])
             mean = np.zeros((len(own), DIMENSIONS))
             spread = vectors[ids] * weights[:, None]
             for d in range(DIMENSIONS):
@@ -171,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     own = docs.sparkSession.createDataFrame(ids, "_id long, _toxic int")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.length("_text") > 0).join(F.broadcast(own), "_id")
     one = texts.groupBy("_id", "_toxic").agg(F.max("_text").alias("_text")).toArrow().sort_by("_id")
-    return train(one["_text"].to_pylist(), one["_toxic"].to_pylist(), (toxic or 0) / n if n else 0.1)
+    sample, marks = one["_text"].to_pylist(), one["_toxic"].to_pylist()
+    del one
+    pa.default_memory_pool().release_unused()
+    return train(sample, marks, (toxic or 0) / n if n else 0.1)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
