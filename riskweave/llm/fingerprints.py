@@ -87,8 +87,8 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``keys``, which name a row, and the fingerprint of each text column under its own name.
+def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], columns: list[str], others: list[str] | None = None) -> DataFrame:
+    """``keys``, which name a row, ``others``, and the fingerprint of each text column under its own name.
 
     Terms are exploded in place and met with the broadcast lexicon; a row's terms
     stay in its task, where those of the lexicon come together again.  They are
@@ -97,11 +97,13 @@ def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], colum
     # The empty term stands for every text, so that none is lost in the join.
     known = lexicon.select("term", "subsets").unionByName(lexicon.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("subsets")))
     each = F.array(*[F.struct(F.lit(i).alias("kind"), F.array_append(terms_of(F.col(c)), F.lit("")).alias("terms")) for i, c in enumerate(columns)])
-    whole = [F.md5(F.col(c)).alias(f"_whole{i}") for i, c in enumerate(columns)]
-    names = [*keys, *[f"_whole{i}" for i in range(len(columns))]]
-    spread = texts.select(*keys, *whole, F.explode(each).alias("x")).select(*names, "x.kind", F.explode("x.terms").alias("term"))
+    names = [*(others or []), *[f"_whole{i}" for i in range(len(columns))]]
+    own = F.struct(*[F.col(c).alias(c) for c in names]).alias("_own")
+    spread = texts.withColumns({f"_whole{i}": F.md5(F.col(c)) for i, c in enumerate(columns)}).select(*keys, own, F.explode(each).alias("x")).select(*keys, "_own", "x.kind", F.explode("x.terms").alias("term"))
+    # What else a row has travels with its empty term only, so that the rows of terms stay narrow.
+    spread = spread.withColumn("_own", F.when(F.col("term") == "", F.col("_own")))
     of = lambda i: F.array_sort(F.collect_list(F.when((F.col("kind") == i) & (F.col("subsets") > 0), F.struct("term", "subsets"))))
-    met = spread.join(F.broadcast(known), "term").groupBy(*names).agg(*[of(i).alias(f"_terms{i}") for i in range(len(columns))])
+    met = spread.join(F.broadcast(known), "term").groupBy(*keys).agg(F.first("_own", ignorenulls=True).alias("_own"), *[of(i).alias(f"_terms{i}") for i in range(len(columns))])
 
     def part(terms: Column, k: int) -> Column:
         own = F.transform(F.filter(terms, lambda x: x["subsets"].bitwiseAND(1 << k) > 0), lambda x: x["term"])
@@ -110,9 +112,9 @@ def fingerprints_of(texts: DataFrame, lexicon: DataFrame, keys: list[str], colum
 
     def written(i: int) -> Column:
         parts = F.array_join(F.array(*[part(F.col(f"_terms{i}"), k) for k in range(len(SUBSETS))]), "-")
-        return bound(parts, lambda x: F.when(x.rlike("^[_-]*$"), F.concat(F.lit("="), F.col(f"_whole{i}"))).otherwise(x))
+        return bound(parts, lambda x: F.when(x.rlike("^[_-]*$"), F.concat(F.lit("="), F.col(f"_own._whole{i}"))).otherwise(x))
 
-    return met.select(*keys, *[written(i).alias(c) for i, c in enumerate(columns)])
+    return met.select(*keys, *[F.col(f"_own.{c}").alias(c) for c in others or []], *[written(i).alias(c) for i, c in enumerate(columns)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -145,8 +147,8 @@ def _fingerprinted(docs: DataFrame, id_col: str, text_col: str, least: float, mo
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left(F.col("text"), (F.col("n_chars") - third).cast("int")), F.left(F.col("next_text"), third))
     near = near.withColumn("edited", edited).withColumn("edited_sha256", F.sha2("edited", 256))
-    keys = ["part", "row", "doc_id", "n_chars", "edited_sha256", "next_part", "next_row"]
-    prints = fingerprints_of(near.select(*keys, F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")), lexicon, keys, ["fingerprint", "edited_fingerprint"])
+    keys, others = ["part", "row"], ["doc_id", "n_chars", "edited_sha256", "next_part", "next_row"]
+    prints = fingerprints_of(near.select(*keys, *others, F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")), lexicon, keys, ["fingerprint", "edited_fingerprint"], others)
     prints = kept(prints)
     following = prints.select(F.col("part").alias("next_part"), F.col("row").alias("next_row"), F.col("fingerprint").alias("next_fingerprint"))
     return prints.join(following, ["next_part", "next_row"], "left").select(
