@@ -69,10 +69,12 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     groups = max(1, min(MOST_GROUPS, rows.count() // GROUP_ROWS))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / groups for k in range(1, groups)] or [0.5], min(100 * groups, 1_000_000))).first()[0] or []
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(_place(F.col("doc_id"), sorted(set(cuts)))))
     tie = F.xxhash64("text")
+    # Rows without an id come after the others, the largest hash of the text first, in ranges of equal shares of the hashes.
+    unnamed = F.least(F.floor((0.5 - tie / F.lit(2.0**64)) * groups), F.lit(groups - 1)).cast("int")
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), -1 - unnamed).otherwise(_place(F.col("doc_id"), sorted(set(cuts)))))
     firsts = materialize(rows.groupBy("part").agg(F.max(F.struct("doc_id", tie.alias("tie"), "text")).alias("f")))
-    # One number for each range: at most MOST_GROUPS of them.
+    # One number for each range: at most MOST_GROUPS with and as many without ids.
     numbers = [r[0] for r in firsts.select("part").orderBy(F.desc("part")).collect()]
     before = F.create_map(*[F.lit(x) for a, b in zip(numbers, [numbers[-1], *numbers[:-1]], strict=True) for x in (a, b)]) if numbers else F.create_map().cast("map<int,int>")
     ends = firsts.select("f.doc_id", "f.text", F.element_at(before, F.col("part")).alias("part"), F.lit(1).alias("end"), F.col("part").alias("own"))
@@ -132,7 +134,8 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     fingerprint, edited_fingerprint, near_edited, near_next.  The edited text has
     the last third replaced by the beginning of the next document.
 
-    Null texts are empty texts.  Rows with a null id come last, as one range.
+    Null texts are empty texts.  Rows with a null id come last, by falling hash
+    of their text.
     Repeated rows are each other's neighbours and stay separate.  A table of one
     row is its own next document; an empty table gives an empty result.  Other
     columns are ignored.

@@ -74,13 +74,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     A source is taken whole as often as its target allows; the rest is the
     beginning of its order, a hash of seed and id, and the last document of that
     is taken in part.  Null and empty texts have size 0 and are never taken.  The
-    null source is a source, sorted last.  Repeated rows count each for itself;
+    null source is a source, sorted last.  Rows without an id stand in the order
+    of a hash of their text, so that they spread like others.  Repeated rows count each for itself;
     which of two equal ones comes first cannot be told.  An empty table gives an
     empty result.  Other columns stay in ``row``, whatever their names.
     """
     n = docs.count()
     bits = max(0, min(int(math.log2(MOST_BUCKETS)), math.ceil(math.log2(max(1, n / BUCKET_ROWS)))))
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("long")
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), unnamed))), 1, 8), 16, 10).cast("long")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),

@@ -79,7 +79,7 @@ QUERIES = {f.__name__: f for f in (op1_nearest, op2_mix, op3_fingerprints, op4_t
 def _mix_sql() -> str:
     """The water level of the targets is that of the first source, by how soon it is full, that isn't."""
     weights, schedules = list(mixing.WEIGHTS), [list(x) for x in mixing.SCHEDULES]
-    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS size, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS k FROM documents),
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS size, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
 w AS (SELECT *, CAST({weights} AS DOUBLE[])[rank % {len(weights)} + 1] AS weight, CAST({schedules} AS DOUBLE[][])[rank % {len(schedules)} + 1] AS f FROM r),

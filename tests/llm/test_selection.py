@@ -62,6 +62,13 @@ def test_mix_again_is_the_same(spark):
     assert one == two
 
 
+def test_mix_of_rows_without_ids(spark):
+    rows = [(None, f"w{i} " * (i % 3 + 1), "a") for i in range(400)] + [(i, "w " * 900, "b") for i in range(20)]
+    one, two = ({r[0]: tuple(r[1:]) for r in mixing.mix(docs(spark, part)).where("doc_id IS NULL").select("row.text", "before", "taken").collect()} for part in (rows, rows[::-1]))
+    assert len(one) == 400 and one == two
+    assert len({before for before, _ in one.values()}) == 400
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)])).agg({"taken": "sum"}).first()[0] == 0
@@ -115,6 +122,19 @@ def test_fingerprints(spark):
     assert all(len(p) == 1 for p in prints.values())
 
 
+def test_fingerprints_of_rows_without_ids(spark):
+    rows = [(None, f"text number {i} " * 3, "s") for i in range(1500)] + [(None, "copy", "s")] * 3 + [(i, f"named {i}", "s") for i in range(400)]
+    table = docs(spark, rows)
+    near = fingerprints.with_next(table)
+    sizes = near.where("doc_id IS NULL").groupBy("part").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 600
+    order = [r["text"] for r in table.selectExpr("doc_id", "text", "xxhash64(text) AS h").orderBy("doc_id", "h").collect()]
+    nulls, named = order[:1503][::-1], order[1503:][::-1]
+    order = named + nulls
+    want = sorted(zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((r["text"], r["next_text"]) for r in near.collect()) == want
+
+
 def test_fingerprints_of_little(spark):
     assert fingerprints.fingerprint_documents(docs(spark, [])).count() == 0
     one = fingerprints.fingerprint_documents(docs(spark, [(None, "abc def", None)])).first()
