@@ -88,13 +88,18 @@ def version_parts(version: Column) -> Column:
     return bound(bare, lambda v: F.when(v == "", F.array().cast("array<string>")).otherwise(F.split(v, r"\.")))
 
 
-def _segments(version: Column) -> Column:
+def version_segments(version: Column) -> Column:
     """The parts as (n, s): the number where a part is one, and its text."""
     return F.transform(version_parts(version), lambda x: F.struct(F.when(x.rlike(r"^[+-]?[0-9]+\z"), x.try_cast("long")).alias("n"), x.alias("s")))
 
 
 def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1: segment by segment, the shorter filled with zeros; as numbers where both are, else as text."""
+    return compare_segments(version_segments(a), version_segments(b))
+
+
+def compare_segments(a: Column, b: Column) -> Column:
+    """``compare_versions`` of versions that are cut into segments already."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit("0").alias("s"))
     sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
@@ -102,7 +107,7 @@ def compare_versions(a: Column, b: Column) -> Column:
         x, y = F.coalesce(x, zero), F.coalesce(y, zero)
         return F.when(x["n"].isNotNull() & y["n"].isNotNull(), sign(x["n"], y["n"])).otherwise(sign(x["s"], y["s"]))
 
-    differs = F.filter(F.zip_with(_segments(a), _segments(b), one), lambda z: z != 0)
+    differs = F.filter(F.zip_with(a, b, one), lambda z: z != 0)
     return F.coalesce(F.get(differs, F.lit(0)), F.lit(0))
 
 
@@ -117,7 +122,7 @@ def version_key(version: Column) -> Column:
     """
     digits = lambda n: F.concat(F.lit("1"), F.hex(F.length(F.hex(n)).cast("long") - 1), F.hex(n))
     code = lambda x: F.when(x["s"].rlike(r"^[0-9]+\z") & x["n"].isNotNull(), digits(x["n"])).when(x["s"].rlike(r"(?s)^[A-Za-z][^\x00]*\z"), F.concat(F.lit("2"), F.hex(F.encode(x["s"], "UTF-8")), F.lit("!")))
-    codes = F.transform(_segments(version), code)
+    codes = F.transform(version_segments(version), code)
     key = F.regexp_replace(F.array_join(codes, "."), r"(?:(?:^|\.)100)+\z", "")
     return F.when(~F.exists(codes, lambda x: x.isNull()), key).cast("binary")
 

@@ -121,10 +121,12 @@ def compare_sql(a: str, b: str) -> str:
 VULNS = "(VALUES " + ", ".join(f"({text_sql(n)}, {text_sql(m)}, {text_sql(v)}, {s}, {sev}, {text_sql(a)})" for n, m, v, s, sev, a in c.VULNERABLE_PACKAGES) + ") AS v(vuln, max_affected, cve, cvss, vuln_severity, about)"
 
 
-@query(f"SELECT target, name, version, max_affected, CAST({compare_sql(NORMAL, 'max_affected')} AS INTEGER) AS compared FROM {DEPS} AS d JOIN {VULNS} ON name = vuln")
+@query(f"SELECT target, name, version, max_affected, CAST({compare_sql(NORMAL, 'max_affected')} AS INTEGER) AS compared FROM {DEPS} AS d CROSS JOIN {VULNS}")
 def compare_versions(spark, sf_dir):
-    known = ops.merged_dependencies(manifests(spark, sf_dir)).join(ops.vulnerabilities(spark), F.col("name") == F.col("vuln"))
-    return known.select("target", "name", "version", "max_affected", ops.compare_versions(ops.normalize_version(F.col("version")), F.col("max_affected")).alias("compared"))
+    """Every dependency's version against that of every advisory; a version is cut into segments once, before it meets the advisories."""
+    own = ops.merged_dependencies(manifests(spark, sf_dir)).select("target", "name", "version", ops.version_segments(ops.normalize_version(F.col("version"))).alias("own"))
+    limits = ops.vulnerabilities(spark).select("max_affected", ops.version_segments(F.col("max_affected")).alias("limit"))
+    return own.crossJoin(F.broadcast(limits)).select("target", "name", "version", "max_affected", ops.compare_segments(F.col("own"), F.col("limit")).alias("compared"))  # ten fixed rows
 
 
 # Versions of three numbers, dated ones and ones with text, by the keys of parts.
