@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` (narrow: keys) dealt over the session's shuffle partitions: a table of few bytes is few splits, however much work is made of its rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def text_sql(value: str | None) -> str:
     """A SQL string; characters below the blank by their number."""
     if value is None:
@@ -98,7 +103,7 @@ SCHEMAS = [
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """target, snapshot, tool_name, title, description, input_schema: two snapshots of a tool for each supplier."""
     k = F.col("s_suppkey")
-    both = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.lit("old"), F.lit("new"))).alias("snapshot"))
+    both = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select("s_suppkey", F.explode(F.array(F.lit("old"), F.lit("new"))).alias("snapshot"))
     both = both.where(~((F.col("snapshot") == "new") & (k % 7 == 3)) & ~((F.col("snapshot") == "old") & (k % 11 == 5)))
     moved = F.when((F.col("snapshot") == "new") & (k % 5 == 0), k + 1).otherwise(k)
     return both.select(

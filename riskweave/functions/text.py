@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: the characters trimmed as white space.
 WHITE_SPACE = ("\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -19,6 +19,22 @@ def bound(value: Column, expression: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), expression), F.lit(0))
 
 
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` and further columns, each computed once per row in compiled code; a generator keeps them from being pasted into their uses."""
+    made = F.struct(*[v.alias(k) for k, v in values.items()])
+    return df.select("*", F.explode(F.array(made)).alias("_once")).select(*df.columns, *[F.col(f"_once.{k}").alias(k) for k in values])
+
+
+def each(df: DataFrame, values: Column, name: str) -> DataFrame:
+    """``df`` with a row for each of ``values`` (an array without nulls), made once per row in a projection, which is compiled where a generator with lambdas isn't.
+
+    The explode is an outer one: for an inner one a filter on the array's size is
+    put below the projection, and makes the array a second time.
+    """
+    made = df.select("*", values.alias("_each"))
+    return made.select(*df.columns, F.explode_outer("_each").alias(name)).where(F.col(name).isNotNull())
+
+
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 

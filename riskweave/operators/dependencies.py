@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskweave.functions import paths
-from riskweave.functions.text import SCRIPT_CUT, bound, quoted, render, trim_space, truncate
+from riskweave.functions.text import SCRIPT_CUT, bound, once, quoted, render, trim_space, truncate
 from riskweave.operators.detect import explode_lines
 from riskweave.operators.matching import match_rules
 from riskweave.rules import catalog as c
@@ -22,24 +22,27 @@ PARSE_ERROR, HOOK_PARSE_ERROR = "Failed to parse package.json: not an object of
 _MEMBERS = ["dependencies", "devDependencies", "scripts"]
 
 
-def manifest(content: Column) -> tuple[Column, Column]:
-    """(valid, members): a text is a manifest if it is an object whose three members map to strings."""
-    v = F.try_parse_json(content)
-    valid = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    for name in _MEMBERS:
-        member = F.try_variant_get(v, f"$.{name}", "variant")
-        entries = F.try_variant_get(v, f"$.{name}", "map<string,variant>")
-        kind = F.schema_of_variant(member)
+def with_manifest(files: DataFrame, where: Column | None = None) -> DataFrame:
+    """``files`` and valid, m (where the condition holds, if one is given): a text is a manifest if it is an object whose three members map to strings.  Each text is parsed once."""
+    content = F.col("content") if where is None else F.when(where, F.col("content"))
+    rest = files.columns
+    files = once(files, _v=F.try_parse_json(content), m=F.from_json(content, MANIFEST))
+    members = {f"_{name}": F.try_variant_get("_v", f"$.{name}", "variant") for name in _MEMBERS}
+    files = once(files, **members)
+    kinds = {f"_kind{name}": F.schema_of_variant(name) for name in members}
+    files = once(files, **kinds)
+    valid = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    for name in members:
+        kind, entries = F.col(f"_kind{name}"), F.try_variant_get(name, "$", "map<string,variant>")
         fine = kind.startswith("OBJECT") & F.coalesce(F.forall(F.map_values(entries), lambda x: F.schema_of_variant(x).isin("STRING", "VOID")), F.lit(True))
-        valid = valid & F.coalesce(member.isNull() | (kind == "VOID") | fine, F.lit(True))
-    return valid, F.from_json(content, MANIFEST)
+        valid = valid & F.coalesce(F.col(name).isNull() | (kind == "VOID") | fine, F.lit(True))
+    return files.select(*rest, valid.alias("valid"), "m")
 
 
 def manifests(files: DataFrame) -> DataFrame:
     """target, path, content, valid, m: every package.json below no excluded directory."""
     own = files.where((paths.base_name(F.col("path")) == "package.json") & ~paths.in_excluded_dir(F.col("path")))
-    valid, m = manifest(F.col("content"))
-    return own.select("target", "path", "content", valid.alias("valid"), m.alias("m"))
+    return with_manifest(own.select("target", "path", "content"))
 
 
 def merged(m: Column) -> Column:

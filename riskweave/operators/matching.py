@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweave.functions.text import each
 from riskweave.rules.needles import fold, guard
 from riskweave.rules.ruleset import Rule
 
@@ -33,9 +34,18 @@ def rule_ords(text: str, rules: Sequence[Rule], lang: str | None = None, runs: S
                        *[F.coalesce(condition, F.lit(False)).alias(f"run{k}") for k, (_, condition) in enumerate(runs) if condition is not None])
     run_of = [f"run{k}" if condition is not None else None for k, (n, condition) in enumerate(runs) for _ in range(n)] or [None] * len(rules)
 
+    # Rules of the same run and languages are one family, whose condition is tested once.
+    families: dict[tuple, list[int]] = {}
+    for i, (rule, run) in enumerate(zip(rules, run_of, strict=True)):
+        families.setdefault((run, tuple(rule.langs) if lang else ()), []).append(i)
+
     def matches(row):
-        return F.array_compact(F.array(*[
-            F.when(_condition(r, row, bool(lang), run), F.lit(i)) for i, (r, run) in enumerate(zip(rules, run_of, strict=True))]))
+        parts = []
+        for (run, langs), own in families.items():
+            found = F.array_compact(F.array(*[F.when(_condition(rules[i], row), F.lit(i)) for i in own]))
+            applies = ([row[run]] if run else []) + ([row["lang"].isin(*langs)] if langs else [])
+            parts.append(F.when(reduce(Column.__and__, applies), found).otherwise(F.array().cast("array<int>")) if applies else found)
+        return parts[0] if len(parts) == 1 else F.flatten(F.array(*parts)) if parts else F.array().cast("array<int>")
 
     return F.flatten(F.transform(F.array(subject), matches))
 
@@ -50,13 +60,11 @@ def match_rules(df: DataFrame, text: str, rules: Sequence[Rule], lang: str | Non
         raise ValueError(f"rename the input's columns {clash}: hits add columns of these names")
     if not rules:
         return with_rule_columns(df.withColumn(ORD, F.lit(0)).where(F.lit(False)), rules)
-    return with_rule_columns(df.select("*", F.explode(rule_ords(text, rules, lang, runs)).alias(ORD)), rules)
+    return with_rule_columns(each(df, rule_ords(text, rules, lang, runs), ORD), rules)
 
 
-def _condition(rule: Rule, row: Column, by_lang: bool, run: str | None) -> Column:
-    parts = [row[run]] if run else []
-    if by_lang and rule.langs:
-        parts.append(row["lang"].isin(*rule.langs))
+def _condition(rule: Rule, row: Column) -> Column:
+    parts = []
     wanted = guard(rule.needles, row["text"], row["folded"])
     if wanted is not None:
         parts.append(wanted)

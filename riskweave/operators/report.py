@@ -12,7 +12,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweave.functions import paths
-from riskweave.functions.text import SCRIPT_CUT, LINE_CUT, bound, quoted, render, trim_space, truncate
+from riskweave.functions.text import SCRIPT_CUT, LINE_CUT, bound, each, quoted, render, trim_space, truncate
 from riskweave.operators import dependencies as deps
 from riskweave.operators import detect, network
 from riskweave.operators.findings import union_findings
@@ -65,11 +65,11 @@ def from_tools(tools: DataFrame, skip: Collection[str] = ()) -> DataFrame:
     text = lambda x, prefix, tier: F.struct(x.alias("description"), F.lit(prefix).alias("prefix"), tier.alias("tier"))
     nested = F.transform(detect.schema_descriptions(F.col("input_schema")), lambda x: text(x, detect.NESTED_PREFIX, F.lit(-1)))
     own = F.array(text(F.col("description"), "", detect.risk_tier(F.col("description"))))
-    texts = tools.select("target", "tool_name", F.explode(F.concat(own, nested)).alias("t")).select("target", "tool_name", "t.*")
+    texts = each(tools, F.concat(own, nested), "t").select("target", "tool_name", "t.*")
     places = rule_ords("description", rules) if rules else F.array().cast("array<int>")
     if "exposure" not in skip:
         places = F.concat(F.coalesce(places, F.array().cast("array<int>")), F.when(F.col("tier") >= 2, F.array(F.lit(len(rules)))).otherwise(F.array().cast("array<int>")))
-    hits = with_rule_columns(texts.select("*", F.explode(places).alias(ORD)), (*rules, _EXPOSURE))
+    hits = with_rule_columns(each(texts, places, ORD), (*rules, _EXPOSURE))
     exposed = F.col(ORD) == len(rules)
     counted = F.concat(F.lit(detect.INVISIBLE_MESSAGE[0]), detect.invisible_count(F.col("description")).cast("string"), F.lit(detect.INVISIBLE_MESSAGE[1]))
     quotes = F.coalesce(matched_text(F.col("description"), rules[:patterns]), F.lit(""))
@@ -97,10 +97,10 @@ def package_items(files: DataFrame) -> DataFrame:
     base = paths.base_name(F.col("path"))
     files = files.where(base.isin("package.json", "requirements.txt", "pyproject.toml", "setup.py") & ~paths.in_excluded_dir(F.col("path")))
     none = F.array().cast(_ITEM)
-    valid, parsed = deps.manifest(F.col("content"))
-    merged = bound(parsed, lambda m: F.transform(F.map_entries(deps.merged(m)), lambda e: _item("npm", name=e["key"], version=e["value"])))
-    scripts = bound(parsed, lambda m: F.transform(F.map_entries(m["scripts"]), lambda e: _item("script", hook=e["key"], text=e["value"])))
-    manifest = F.when(valid, F.concat(F.coalesce(merged.cast(_ITEM), none), F.coalesce(scripts.cast(_ITEM), none))).otherwise(F.array(_item("malformed")).cast(_ITEM))
+    files = deps.with_manifest(files.select("target", "path", "content"), base == "package.json")
+    merged = F.transform(F.map_entries(deps.merged(F.col("m"))), lambda e: _item("npm", name=e["key"], version=e["value"]))
+    scripts = F.transform(F.map_entries("m.scripts"), lambda e: _item("script", hook=e["key"], text=e["value"]))
+    manifest = F.when(F.col("valid"), F.concat(F.coalesce(merged.cast(_ITEM), none), F.coalesce(scripts.cast(_ITEM), none))).otherwise(F.array(_item("malformed")).cast(_ITEM))
 
     def requirements(cleaned) -> Column:
         """The items of all lines that ``cleaned`` (line -> requirement text, null for none) leaves with a name."""
@@ -112,7 +112,7 @@ def package_items(files: DataFrame) -> DataFrame:
         F.when(base == "package.json", manifest).when(base == "requirements.txt", requirements(deps.requirement_text))
         .when(base == "pyproject.toml", F.concat(requirements(deps.pyproject_text), lines)).otherwise(lines)
     )
-    return files.select("target", "path", F.explode(items).alias("i")).select("target", "path", "i.*")
+    return each(files, items, "i").select("target", "path", "i.*")
 
 
 def _advisories(items_path: Column) -> Column:
@@ -163,10 +163,10 @@ def from_packages(files: DataFrame, skip: Collection[str] = ()) -> DataFrame:
         parts += [_advisories(F.col("path")), suspicious, F.when(bad, plain("dep-audit-parse-error", c.WARNING, F.lit(deps.PARSE_ERROR), "dependency"))]
     if "hook" not in skip:
         parts += [F.when(F.col("kind").isin("script", "line"), hooks.cast(_FOUND)), F.when(bad, plain("mcp-install-hook-malformed-json", c.WARNING, F.concat(F.lit(deps.HOOK_PARSE_ERROR), "path"), "hook"))]
-    found = items.select("target", F.col("path").alias("file"), F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("f")).select("target", "file", "f.*")
+    found = each(items, F.concat(*[F.coalesce(p, none) for p in parts]), "f").select("target", F.col("path").alias("file"), "f.*")
     if "hook" in skip:
         return as_report(found)
-    scripts = items.where("kind = 'script'").select("target", "path", "hook", F.col("text").alias("script"))
+    scripts = deps.scripts(deps.manifests(files))  # their texts alone: no item of other files is made again
     return union_findings(as_report(found), as_report(deps.referenced_findings(scripts, files), "hook"))
 
 

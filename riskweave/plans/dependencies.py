@@ -49,7 +49,7 @@ def files(spark, sf_dir):
         ("scripts/setup.js", F.concat_ws("\n", F.lit("x = 1"), pick(SCRIPTS, k))),
     ]
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("content")) for n, v in own])).alias("f")
-    rows = corpora.table(spark, sf_dir, "part").select("p_partkey", each)
+    rows = corpora.spread(corpora.table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", each)
     return rows.select(F.concat(F.lit("pkg"), k.cast("string")).alias("target"), F.concat(pick(PARTS, k), "f.name").alias("path"), "f.content")
 
 
