@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.graph import components
 from riskweave.llm.storage import cleared, kept, materialize
-from riskweave.llm.words import mixed, reduce_at, slices, split
+from riskweave.llm.words import mixed, reduce_at, release, slices, split
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -40,7 +40,7 @@ LEAST_AGREEING = 12
 LEAST_SHARE = 0.001
 #: Texts compared with one text in one task, and their bytes.
 CHUNK, CHUNK_BYTES = 64, 2 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _TABLE = 1 << 16
 _RANDOM = np.random.default_rng(20_10)
 # Tables of the random variates that a shingle's hash picks for each sample.
@@ -88,7 +88,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return found, np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
 
     for batch in batches:
-        for _, texts in slices(batch.column(0)):
+        release()
+        for _, texts in slices(batch.column(0), SLICE_BYTES):
             words, at, bounds = split(texts)
             if not words:
                 continue
@@ -153,6 +154,16 @@ def shingles(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndar
     return key[at_first], weight, np.concatenate([[0], np.cumsum(np.bincount(doc[at_first], minlength=len(texts)))])
 
 
+def shingles_by_slices(texts: pa.Array, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``shingles``, with the words of a slice at a time in memory."""
+    parts = [shingles(some, idf) for _, some in slices(texts, SLICE_BYTES)]
+    if not parts:
+        return shingles(texts, idf)
+    ends = np.cumsum([0, *[len(keys) for keys, _, _ in parts]])
+    bounds = [bounds[1:] + first for (_, _, bounds), first in zip(parts, ends, strict=False)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], *bounds])
+
+
 def samples(keys: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Consistent weighted samples (texts x SAMPLES), after S. Ioffe's scheme; 0 where a text has no shingle."""
     out = np.zeros((len(bounds) - 1, SAMPLES), np.int64)
@@ -178,12 +189,14 @@ def samples(keys: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.nda
 def _sign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for first, texts in slices(batch.column(2), SLICE_BYTES):
                 keys, weights, bounds = shingles(texts, shared.value)
                 signed = samples(keys, weights, bounds)
                 lists = pa.ListArray.from_arrays(np.arange(0, signed.size + 1, SAMPLES, dtype=np.int32), pa.array(signed.ravel()))
                 total = reduce_at(np.add, weights, bounds, 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), batch.column(1).slice(first, len(texts)), pa.array(total), pc.binary_length(texts).cast(pa.int64()), lists], names=["doc_id", "key", "weight", "bytes", "samples"])
+        release()
 
     return run
 
@@ -192,7 +205,7 @@ def _similar(shared, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         texts = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
-        keys, weights, bounds = shingles(texts, shared.value)
+        keys, weights, bounds = shingles_by_slices(texts, shared.value)
         total = reduce_at(np.add, weights, bounds, 0.0)
         names, a = table["key"].to_pylist(), table["a"][0].as_py()
         mid = names.index(a)
@@ -250,7 +263,7 @@ def _joined(shared, threshold: float):
         at = table["at"].to_numpy()
         table = table.take(pa.array(np.unique(at, return_index=True)[1]))  # rows may repeat id and text
         at, names = table["at"].to_numpy(), table["key"].to_pylist()
-        keys, weights, bounds = shingles(table["text"].combine_chunks(), shared.value)
+        keys, weights, bounds = shingles_by_slices(table["text"].combine_chunks(), shared.value)
         total = reduce_at(np.add, weights, bounds, 0.0)
         found, ids = np.unique(keys, return_inverse=True)
         own, group = np.zeros(len(found)), np.arange(len(names))

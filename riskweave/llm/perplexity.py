@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.llm.storage import cleared, kept, materialize
-from riskweave.llm.words import reduce_at, slices
+from riskweave.llm.words import reduce_at, release, slices
 
 ORDER, BITS = 5, 12
 BEGIN, END = 1, 2
@@ -121,6 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = []
     if found:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _distinct(found)], names=["gram", "n"])
+    release()
 
 
 @dataclass
@@ -243,6 +244,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting, seen, size = {}, set(), 0
     if waiting:
         yield from flushed()
+    release()
 
 
 def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
@@ -257,6 +259,7 @@ def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
 
 def _wanted(table: pa.Table) -> pa.Table:
     """The distinct grams of a chunk."""
+    release()
     keys, fresh, waiting = np.zeros(0, np.int64), [], 0
     for batch in _unpacked(table["blob"]):
         for _, wide, _ in parts(batch.column(2)):
@@ -281,6 +284,7 @@ def _summed(table: pa.Table, known: pa.Table) -> pa.Table:
             bits[here] += reduce_at(np.add, -logs[np.searchsorted(keys, wide)], bounds, 0.0)
             sizes[here] += np.diff(bounds)
         out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array(sizes)], names=["key", "id", "bits", "symbols"]))
+    release()
     return pa.Table.from_batches(out)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.words import mixed, reduce_at, slices, split
+from riskweave.llm.words import mixed, reduce_at, release, slices, split
 
 BUCKETS = 1 << 17
 DIMENSIONS = 10
@@ -30,6 +30,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8_000_000
 EPOCHS, BATCH, RATE = 8, 32, 0.2
 #: Buckets of fewer texts of the sample have no vector: they would only be learnt by heart.
 LEAST_TEXTS = 3
+#: Bytes of text scored at a time.
+SLICE_BYTES = 1 << 20
 CUTOFF = 0.3
 
 
@@ -191,9 +193,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
         own = shared.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            parts = [own.scores(texts) for _, texts in slices(batch.column(at).cast(pa.string()))]
+            parts = [own.scores(texts) for _, texts in slices(batch.column(at).cast(pa.string()), SLICE_BYTES)]
             result = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, result], names=[*batch.schema.names, name])
+            release()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
 

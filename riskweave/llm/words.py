@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.A
         first = last
 
 
+def release() -> None:
+    """Give freed memory back to the machine: workers are used again by later stages, and keep what they once had otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def split_arrow(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct ASCII-white-space separated words, the number of the word at each place, and the places where each text begins (one more than texts)."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
