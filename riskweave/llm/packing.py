@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm.storage import materialize
-from riskweave.llm.words import slices, split_arrow
+from riskweave.llm.words import release, slices, split_arrow
 
 CAPACITY = 2048
 #: A bin of at least this share of the capacity is not packed further.
@@ -34,8 +34,8 @@ FAN_IN = 8
 PIECES_AT_ONCE = 100_000
 #: Distinct words whose ids a worker keeps.
 WORDS_KEPT = 600_000
-#: Bytes of text whose words are looked up together.
-SLICE_BYTES = 12 << 20
+#: Bytes of text whose words are looked up together; a task holds about 25 times as much for it.
+SLICE_BYTES = 1 << 20
 
 MEMBER = T.StructType(
     [
@@ -181,6 +181,7 @@ def _first_round(path: str, capacity: int, full: int):
         encoder, writer = encoder_of(path), _Writer(0, full)
         items: list[tuple[int, list[dict]]] = []
         for batch in batches:
+            release()
             for first, texts in slices(batch.column(1), SLICE_BYTES):
                 ids, bounds = encoder.encode(texts)
                 doc_ids = batch.column(0).slice(first, len(texts)).to_pylist()
@@ -197,6 +198,8 @@ def _first_round(path: str, capacity: int, full: int):
                             yield from writer.batches(items)
                             items = []
         yield from writer.batches(_merged(items, capacity))
+        items.clear()
+        release()
 
     return run
 
@@ -205,6 +208,8 @@ def _later_round(level: int, capacity: int, full: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [(n, m) for b in batches for n, m in zip(b.column("length").to_pylist(), b.column("members").to_pylist(), strict=True)]
         yield from _Writer(level, full).batches(_merged(items, capacity))
+        items.clear()
+        release()
 
     return run
 
